@@ -19,6 +19,7 @@ ignored.
 from __future__ import annotations
 
 import zlib
+from bisect import bisect_left, insort
 from collections import Counter
 from collections.abc import Iterator
 
@@ -35,7 +36,7 @@ SEQUENCE = 4096
 #: Pieces of one length are ranked in so many groups.
 SALTS = 64
 #: Fillings looked at for one largest piece, and nodes of the whole search.
-FILLINGS, NODES = 2000, 200_000
+FILLINGS, NODES = 500, 4000
 
 PIECES = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
 
@@ -89,16 +90,25 @@ def best_fit_decreasing(counts: dict[int, int], size: int) -> Counter:
     number of lengths and patterns, not of pieces.
     """
     by_rest: dict[int, Counter] = {}
+    rests: list[int] = []  # the keys of by_rest, rising
+
+    def opened(rest: int, pattern: tuple[int, ...], times: int) -> None:
+        if rest not in by_rest:
+            by_rest[rest] = Counter()
+            insort(rests, rest)
+        by_rest[rest][pattern] += times
+
     for length in sorted(counts, reverse=True):
         n = counts[length]
         while n:
-            rest = min((r for r in by_rest if r >= length), default=None)
+            at = bisect_left(rests, length)
+            rest = rests[at] if at < len(rests) else None
             if rest is None:
                 fit = size // length
                 whole, more = divmod(n, fit)
                 for k, times in ((fit, whole), (more, 1)):
                     if k and times:
-                        by_rest.setdefault(size - k * length, Counter())[(length,) * k] += times
+                        opened(size - k * length, (length,) * k, times)
                 n = 0
                 continue
             open_ = by_rest[rest]
@@ -113,25 +123,24 @@ def best_fit_decreasing(counts: dict[int, int], size: int) -> Counter:
             if not open_[pattern]:
                 del open_[pattern]
             if not open_:
-                del by_rest[rest]
-            by_rest.setdefault(rest - k * length, Counter())[pattern + (length,) * k] += take
+                del by_rest[rest], rests[at]
+            opened(rest - k * length, pattern + (length,) * k, take)
             n -= take * k
     return sum(by_rest.values(), Counter())
 
 
 def least_sequences(counts: dict[int, int], size: int) -> int:
     """A lower bound: total length, and Martello and Toth's bound over thresholds."""
-    total = sum(length * n for length, n in counts.items())
-    best = -(-total // size)
-    lengths = sorted(counts)
-    for k in [x for x in lengths if x <= size // 2] + [0]:
-        large = sum(counts[x] for x in lengths if x > size - k)
-        middle = [x for x in lengths if size // 2 < x <= size - k]
-        small = sum(x * counts[x] for x in lengths if k <= x <= size // 2)
-        n_middle = sum(counts[x] for x in middle)
-        room = n_middle * size - sum(x * counts[x] for x in middle)
-        best = max(best, large + n_middle + max(0, -(-(small - room) // size)))
-    return best
+    n = np.zeros(size + 1, np.int64)
+    n[list(counts)] = list(counts.values())
+    pieces_to, length_to = np.cumsum(n), np.cumsum(n * np.arange(size + 1))
+    half = size // 2
+    k = np.arange(half + 1)  # pieces shorter than k are left out
+    large = pieces_to[size] - pieces_to[size - k]
+    middle = pieces_to[size - k] - pieces_to[half]
+    room = middle * size - (length_to[size - k] - length_to[half])
+    small = length_to[half] - length_to[np.maximum(k - 1, 0)]
+    return int(max((large + middle + np.maximum(0, -(-(small - room) // size))).max(), -(-length_to[size] // size)))
 
 
 def pack(counts: dict[int, int], size: int = SEQUENCE, nodes: int = NODES) -> Counter:
