@@ -30,6 +30,12 @@ def op2_quality_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(table(spark, sf_dir, "documents"))
 
 
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .decontam import contamination
+
+    return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op5_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .dsir import resample
 
@@ -49,8 +55,10 @@ def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_simhash_near_dedup, op2_quality_repetition, op5_importance_resampling, op6_token_store, op9_best_fit_packing)}
+    return {f.__name__: f for f in (op1_simhash_near_dedup, op2_quality_repetition, op4_decontamination, op5_importance_resampling, op6_token_store, op9_best_fit_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from .decontam import ORACLE_SQL as decontamination
+
+    return {"op4_decontamination": decontamination}
