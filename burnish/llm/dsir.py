@@ -162,8 +162,44 @@ def kth_largest(df: DataFrame, column: str, k: int) -> float:
     return high
 
 
-def resample(docs: DataFrame, labels: DataFrame, how: Resampling = Resampling()) -> DataFrame:
-    """doc_id, log_weight, evidence, gumbel_key, kept: a row for each document."""
+@dataclass
+class Classifier:
+    """A fitted classifier: the table of log ratios (broadcast) and the threshold."""
+
+    ratios: object
+    cut: float
+    how: Resampling
+
+    def scores(self, docs: DataFrame) -> DataFrame:
+        """doc_id, log_weight, evidence for each row of docs."""
+        table, margin = self.ratios, self.how.margin
+        schema = pa.schema([("doc_id", pa.int64()), ("log_weight", pa.float64()), ("evidence", pa.float64())])
+
+        def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for first, last, words in parts(batch):
+                    yield _shared.arrow_out(schema, [batch.column("doc_id").slice(first, last - first), *text_scores(words, table.value, margin)])
+
+        plain = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"))
+        return plain.mapInArrow(score, "doc_id long, log_weight double, evidence double")
+
+    def accepted(self, docs: DataFrame) -> DataFrame:
+        """The rows of docs that are not rejected, whole and in place: no shuffle."""
+        table, margin, cut = self.ratios, self.how.margin, self.cut
+        place = next(k for k, c in enumerate(docs.columns) if c.lower() == "text")
+        inner = docs.toDF(*["text" if k == place else f"c{k}" for k in range(len(docs.columns))])
+
+        def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                good = [text_scores(words, table.value, margin)[1] >= cut for _, _, words in parts(batch)]
+                if good:
+                    yield batch.filter(pa.array(np.concatenate(good)))
+
+        return inner.mapInArrow(keep, inner.schema).toDF(*docs.columns)
+
+
+def fit(docs: DataFrame, labels: DataFrame, how: Resampling = Resampling()) -> Classifier:
+    """Count both models and set the threshold on the labelled sample."""
     spark = docs.sparkSession
     _shared.prepare(spark)
     marked = labels.where("doc_id is not null and quality is not null").groupBy(labels["doc_id"].cast("long").alias("doc_id"))
@@ -172,31 +208,29 @@ def resample(docs: DataFrame, labels: DataFrame, how: Resampling = Resampling())
     chosen = [marked.where(F.col("bad") == bad).orderBy(order).limit(how.sample) for bad in (False, True)]
     # Half of the good sample trains; the rest and the bad sample set the threshold.
     sample = chosen[0].union(chosen[1]).withColumn("train", ~F.col("bad") & (F.pmod(F.xxhash64(F.col("doc_id"), F.lit(how.seed + 1)), F.lit(2)) == 0))
-    sample = _shared.written(sample.coalesce(1), "labelled")
+    sample = F.broadcast(_shared.written(sample, "labelled"))  # 2 * how.sample rows at most
     plain = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"))
-    known = plain.join(F.broadcast(sample), "doc_id", "left")  # 2 * how.sample rows at most
-    counts = counted(known.select("text", F.coalesce("train", F.lit(False)).alias("target")))
+    counts = counted(plain.join(sample, "doc_id", "left").select("text", F.coalesce("train", F.lit(False)).alias("target")))
     ratios = log_ratios(counts, how.smoothing) if counts[1].any() else np.zeros((TABLES, BUCKETS), np.float32)
-    table, margin = spark.sparkContext.broadcast(ratios), how.margin
-    schema = pa.schema([("doc_id", pa.int64()), ("log_weight", pa.float64()), ("evidence", pa.float64()), ("bad", pa.bool_()), ("train", pa.bool_())])
+    out = Classifier(spark.sparkContext.broadcast(ratios), -np.inf, how)
+    held = sample.where("not train")
+    rows = out.scores(plain.join(held, "doc_id", "left_semi")).join(held, "doc_id").groupBy("evidence", "bad").count().collect()
+    if rows:
+        evidence, bad, times = (np.array(x) for x in zip(*rows, strict=True))
+        out.cut = threshold(np.repeat(evidence, times), np.repeat(bad, times).astype(bool), how.caution)
+    return out
 
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for first, last, words in parts(batch):
-                rest = [batch.column(c).slice(first, last - first) for c in ("doc_id", "bad", "train")]
-                yield _shared.arrow_out(schema, [rest[0], *text_scores(words, table.value, margin), *rest[1:]])
-
-    scored = _shared.written(known.mapInArrow(score, "doc_id long, log_weight double, evidence double, bad boolean, train boolean"), "scores")
-    seen = scored.where("bad is not null and not train").groupBy("evidence", "bad").count()
-    rows = seen.collect()  # of the labelled sample only
-    evidence = np.repeat([r[0] for r in rows], [r[2] for r in rows]) if rows else np.zeros(0)
-    bad = np.repeat([r[1] for r in rows], [r[2] for r in rows]).astype(bool) if rows else np.zeros(0, bool)
-    cut = threshold(evidence, bad, how.caution) if len(rows) else -np.inf
+
+def resample(docs: DataFrame, labels: DataFrame, how: Resampling = Resampling()) -> DataFrame:
+    """doc_id, log_weight, evidence, gumbel_key, kept: a row for each document."""
+    fitted = fit(docs, labels, how)
+    scored = fitted.scores(docs)
     uniform = (F.shiftrightunsigned(F.xxhash64(F.coalesce("doc_id", F.lit(-1)), F.lit(how.seed + 2)), 11).cast("double") + 0.5) / float(1 << 53)
     keyed = scored.withColumn("gumbel_key", F.col("log_weight") - F.log(-F.log(uniform)))
-    weighed = F.col("evidence") >= F.lit(cut)
+    weighed = F.col("evidence") >= F.lit(fitted.cut)
     lowest = float("-inf")
     if how.share < 1:
+        keyed = _shared.written(keyed, "keys")
         able = keyed.where(weighed)
         k = int(np.ceil(how.share * able.count()))
         lowest = kth_largest(able, "gumbel_key", k) if k else float("inf")

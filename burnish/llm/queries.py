@@ -60,8 +60,14 @@ def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"), end_id=1)
 
 
+def op10_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .surrogates import replaced
+
+    return replaced(table(spark, sf_dir, "documents").select("doc_id", "text"), count="n_entities")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_simhash_near_dedup, op2_quality_repetition, op4_decontamination, op5_importance_resampling, op6_token_store, op7_token_counts, op9_best_fit_packing)}
+    return {f.__name__: f for f in (op1_simhash_near_dedup, op2_quality_repetition, op4_decontamination, op5_importance_resampling, op6_token_store, op7_token_counts, op9_best_fit_packing, op10_pii_surrogates)}
 
 
 def oracle_sql() -> dict[str, str]:
