@@ -12,6 +12,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -100,3 +101,26 @@ def arrow_out(schema: pa.Schema, columns: Iterable) -> pa.RecordBatch:
 def row_key(docs: DataFrame) -> DataFrame:
     """docs with a column __row that tells rows apart even where ids repeat."""
     return docs.withColumn("__row", F.monotonically_increasing_id())
+
+
+def put_file(uri: str, data: bytes) -> None:
+    """Write a whole file in the shared folder, at once or not at all."""
+    store, path = pafs.FileSystem.from_uri(uri)
+    store.create_dir(os.path.dirname(path), recursive=True)
+    part = f"{path}.{uuid.uuid4().hex}"
+    with store.open_output_stream(part) as out:
+        out.write(data)
+    store.move(part, path)
+
+
+def mapped(uri: str, kind: str) -> np.ndarray:
+    """A file of the shared folder as a memory-mapped array. Where the folder isn't
+    mounted, the worker first takes a copy to its own disk."""
+    store, path = pafs.FileSystem.from_uri(uri)
+    if not isinstance(store, pafs.LocalFileSystem):
+        local = os.path.join(tempfile.mkdtemp(prefix="burnish-"), os.path.basename(path))
+        with store.open_input_stream(path) as source, open(local, "wb") as out:
+            while block := source.read(1 << 24):
+                out.write(block)
+        path = local
+    return np.memmap(path, kind, "r") if os.path.getsize(path) else np.zeros(0, kind)

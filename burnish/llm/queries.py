@@ -54,6 +54,12 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), tokenizer("piece_bpe_32k.model"))
 
 
+def op8_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .kneser_ney import score_documents
+
+    return score_documents(table(spark, sf_dir, "documents"))
+
+
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import pack_documents
 
@@ -67,7 +73,7 @@ def op10_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_simhash_near_dedup, op2_quality_repetition, op4_decontamination, op5_importance_resampling, op6_token_store, op7_token_counts, op9_best_fit_packing, op10_pii_surrogates)}
+    return {f.__name__: f for f in (op1_simhash_near_dedup, op2_quality_repetition, op4_decontamination, op5_importance_resampling, op6_token_store, op7_token_counts, op8_kneser_ney, op9_best_fit_packing, op10_pii_surrogates)}
 
 
 def oracle_sql() -> dict[str, str]:
