@@ -30,6 +30,12 @@ def op2_quality_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(table(spark, sf_dir, "documents"))
 
 
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .substring import without_repeats
+
+    return without_repeats(table(spark, sf_dir, "documents")).drop("kept_text")
+
+
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .decontam import contamination
 
@@ -73,10 +79,11 @@ def op10_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_simhash_near_dedup, op2_quality_repetition, op4_decontamination, op5_importance_resampling, op6_token_store, op7_token_counts, op8_kneser_ney, op9_best_fit_packing, op10_pii_surrogates)}
+    return {f.__name__: f for f in (op1_simhash_near_dedup, op2_quality_repetition, op3_substring_dedup, op4_decontamination, op5_importance_resampling, op6_token_store, op7_token_counts, op8_kneser_ney, op9_best_fit_packing, op10_pii_surrogates)}
 
 
 def oracle_sql() -> dict[str, str]:
     from .decontam import ORACLE_SQL as decontamination
+    from .substring import ORACLE_SQL as substring
 
-    return {"op4_decontamination": decontamination}
+    return {"op3_substring_dedup": substring, "op4_decontamination": decontamination}
