@@ -28,7 +28,7 @@ class BaseCleaner:
     def __post_init__(self) -> None:
         for f in fields(self):
             value, wanted = getattr(self, f.name), type(f.default)
-            if wanted in (bool, str) or issubclass(wanted, Enum) and f.name != "in_format":
+            if wanted is bool or issubclass(wanted, Enum) and f.name != "in_format":
                 if not isinstance(value, wanted):
                     raise TypeError(f"{type(self).__name__}.{f.name} takes {wanted.__name__}, not {value!r}")
         self.check()

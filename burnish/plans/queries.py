@@ -260,7 +260,7 @@ def detected(spark: SparkSession, sf_dir: str) -> DataFrame:
 add(
     "detect_assignments",
     detected,
-    """SELECT * FROM (VALUES
+    """SELECT tab, col, cleaner, confidence::DOUBLE AS confidence FROM (VALUES
   ('customer', 'c_custkey', 'NumericCleaner', 0.7), ('customer', 'c_name', 'TextCleaner', 0.1), ('customer', 'c_nationkey', 'NumericCleaner', 0.7),
   ('customer', 'c_acctbal', 'NumericCleaner', 0.7), ('customer', 'c_mktsegment', 'TextCleaner', 0.1),
   ('orders', 'o_orderkey', 'NumericCleaner', 0.7), ('orders', 'o_custkey', 'NumericCleaner', 0.7), ('orders', 'o_orderstatus', 'BoolCleaner', 1.0),
