@@ -1,0 +1,425 @@
+"""Each operator against a plain version on small fixtures, with nulls, empty and long
+texts, ties, repeated rows, empty tables and further columns."""
+
+import hashlib
+import io
+import math
+import random
+import re
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import pytest
+import xxhash
+
+from burnish.llm import decontam, dsir, kneser_ney, packing, queries, repetition, simhash, substring, surrogates, token_count, token_store
+from burnish.llm.units import UnitEncoder
+
+SCHEMA = "doc_id long, text string, row string, count int, n_words string"
+WORD = r"[^\x20\x09-\x0D]+"
+
+
+def words_of(text):
+    return re.findall(WORD, text or "")
+
+
+def frame(spark, texts, ids=None):
+    """Documents with columns whose names clash with inner ones."""
+    ids = range(len(texts)) if ids is None else ids
+    return spark.createDataFrame([(i, t, "r", 1, "n") for i, t in zip(ids, texts, strict=True)], SCHEMA)
+
+
+def prose(seed, n, vocabulary=400, length=120):
+    rng = random.Random(seed)
+    return [" ".join(f"w{min(rng.randrange(vocabulary), rng.randrange(vocabulary))}" for _ in range(rng.randrange(length // 2, length))) for _ in range(n)]
+
+
+@pytest.fixture(scope="module")
+def texts():
+    """Prose, copies, near copies, shared passages, odd cases."""
+    rng = random.Random(7)
+    base = prose(1, 30)
+    passage = " ".join(f"p{k}" for k in range(60))
+    out = [*base, base[0], base[0], base[1].upper(), passage, f"start {passage} end", f"{base[2]} {passage[:150]}", f"{passage} {passage}"]
+    for k in range(12):
+        words = base[3].split() * 6
+        words[rng.randrange(len(words))] = "changed"
+        out.append(" ".join(words))
+    return [*out, None, "", " \n\t ", "one", "a b", "Ä é 中文  x", "x" * 5000, "\n".join(["same line here"] * 40), " ".join(prose(5, 30))]
+
+
+def near(rows):
+    return sorted(tuple(r) for r in rows)
+
+
+# ---- 1 ---------------------------------------------------------------------------------
+def plain_fingerprint(text):
+    words = [re.sub("[A-Z]", lambda m: m[0].lower(), w) for w in words_of(text)]
+    grams = [" ".join(words[k : k + 3]) for k in range(len(words) - 2)] or ([" ".join(words)] if words else [])
+    h = [xxhash.xxh64_intdigest(g.encode(), 42) for g in grams]
+    return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
+
+
+def plain_components(prints):
+    parent = list(range(len(prints)))
+
+    def find(k):
+        while parent[k] != k:
+            k = parent[k]
+        return k
+
+    for a in range(len(prints)):
+        for b in range(a):
+            if (prints[a] ^ prints[b]).bit_count() <= 2:
+                parent[max(find(a), find(b))] = min(find(a), find(b))
+    return [find(k) for k in range(len(prints))]
+
+
+def test_simhash(spark, texts):
+    prints = [plain_fingerprint(t) for t in texts]
+    roots = plain_components(prints)
+    got = near(simhash.near_duplicates(frame(spark, texts)).select("doc_id", "fingerprint", "component_id").collect())
+    assert got == [(k, f"{p:016x}", r) for k, (p, r) in enumerate(zip(prints, roots, strict=True))]
+    kept = simhash.representatives(frame(spark, texts))
+    assert kept.columns == SCHEMA.replace(",", "").split()[::2]
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(set(roots))
+
+
+def test_simhash_odd(spark):
+    assert simhash.near_duplicates(frame(spark, [])).count() == 0
+    ids = simhash.near_duplicates(frame(spark, ["a b c", "a b c", "d e f"], [None, 5, 5])).collect()
+    assert sorted((r.doc_id or 0, r.component_id) for r in ids) == [(0, 5), (5, 5), (5, 5)]
+
+
+@pytest.mark.parametrize("n", [3, 40, 300])
+def test_trees_link_like_brute_force(n):
+    rng = random.Random(n)
+    values = sorted({rng.getrandbits(9) | rng.getrandbits(2) << 40 for _ in range(n)})
+    got = simhash.linked(np.array(values, np.uint64))
+    assert got.tolist() == plain_components(values)
+
+
+# ---- 2 ---------------------------------------------------------------------------------
+def plain_rules(text):
+    w = words_of(text)
+    windows, repeated = Counter(tuple(w[k : k + 3]) for k in range(len(w) - 2)), set()
+    for k in range(len(w) - 2):
+        if windows[tuple(w[k : k + 3])] > 1:
+            repeated |= {k, k + 1, k + 2}
+    lines = [x for x in (text or "").split("\n") if words_of(x)]
+    longest, where = [0] * len(w), defaultdict(list)
+    for k in range(len(w) - 7):
+        where[tuple(w[k : k + 8])].append(k)
+    for places in where.values():
+        for a in places:
+            for b in places:
+                if a != b:
+                    n = 8
+                    while max(a, b) + n < len(w) and w[a + n] == w[b + n]:
+                        n += 1
+                    longest[a] = max(longest[a], n)
+    covered = {k for a, n in enumerate(longest) for k in range(a, a + n)}
+    failed = len(w) < 50 or 100 * len(repeated) > 50 * len(w)
+    return (len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in text or ""), len(lines) - len(set(lines)), len(repeated), failed, len(covered), max(longest, default=0))
+
+
+def test_rules(spark, texts):
+    got = {r.doc_id: tuple(r)[1:] for r in repetition.judge(frame(spark, texts)).collect()}
+    for k, t in enumerate(texts):
+        want = plain_rules(t)
+        assert got[k][:-1] == want
+        n, failed, covered, longest = want[0], want[5], want[6], want[7]
+        assert got[k][-1] == (not failed and 100 * covered <= 30 * n and longest <= 100)
+    assert repetition.judge(frame(spark, [])).count() == 0
+
+
+# ---- 3 ---------------------------------------------------------------------------------
+def plain_removal(texts):
+    held = [words_of(t) for t in texts]
+    seen = Counter(tuple(w[k : k + 35]) for w in held for k in range(len(w) - 34))
+    out = []
+    for w in held:
+        gone = {j for k in range(len(w) - 34) if seen[tuple(w[k : k + 35])] > 1 for j in range(k, k + 35)}
+        kept = " ".join(x for k, x in enumerate(w) if k not in gone)
+        out.append((len(w), len(gone), hashlib.sha256(kept.encode()).hexdigest()))
+    return out
+
+
+@pytest.mark.parametrize("group, automaton", [(1000, 60_000), (1, 50)])
+def test_substrings(spark, texts, monkeypatch, group, automaton):
+    monkeypatch.setattr(substring, "GROUP", group)  # 1: every shared anchor counts as hot
+    monkeypatch.setattr(substring, "AUTOMATON", automaton)
+    got = near(substring.without_repeats(frame(spark, texts)).drop("kept_text").collect())
+    assert got == [(k, *x) for k, x in enumerate(plain_removal(texts))]
+
+
+def test_substrings_odd(spark):
+    assert substring.without_repeats(frame(spark, [])).count() == 0
+    long = " ".join(f"v{k}" for k in range(40))
+    rows = substring.without_repeats(frame(spark, [long, long, long], [1, 1, None])).collect()
+    assert [r.n_removed for r in rows] == [40, 40, 40]
+
+
+def test_automaton():
+    a = substring.SuffixAutomaton()
+    for sequence, weight in (([1, 2, 3, 1, 2, 3], 1), ([2, 3, 4], 5)):
+        a.add(sequence, weight)
+    a.close()
+    assert a.places([2, 3, 4, 9, 1, 2], 2) == [7, 5, 0, 0, 2]
+
+
+# ---- 4 ---------------------------------------------------------------------------------
+ITEM = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+
+
+def plain_contamination(texts, items):
+    def cut(t):
+        return re.findall(ITEM, re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+
+    out = []
+    for t in texts:
+        w, hit, found = cut(t), set(), set()
+        for item_id, item in items:
+            v = cut(item)
+            for s in range(max(len(v) - 12, 1) if v else 0):
+                win = v[s : s + 13]
+                for k in range(len(w) - len(win) + 1):
+                    if w[k : k + len(win)] == win:
+                        hit |= set(range(k, k + len(win)))
+                        found.add(item_id)
+        found.discard(None)
+        listed = ",".join(sorted(map(str, found)))
+        out.append((len(w), len(hit), len(found), hashlib.sha256(listed.encode()).hexdigest(), bool(hit) and 20 * len(hit) >= len(w)))
+    return out
+
+
+@pytest.mark.parametrize("block", [150_000, 7])
+def test_contamination(spark, texts, monkeypatch, block):
+    monkeypatch.setattr(decontam, "BLOCK", block)
+    few = texts[30:]
+    items = [(1, " ".join(f"P{k}" for k in range(5, 30))), (2, "changed, w1"), (10, "one"), (3, None), (4, "..."), (None, "same line here"), (2, "same line"), (5, " ".join(f"q{k}" for k in range(20)))]
+    bench = spark.createDataFrame([(i, t, "x") for i, t in items], "item_id long, text string, window string")
+    got = near(decontam.contamination(frame(spark, few), bench).collect())
+    assert got == [(k, *x) for k, x in enumerate(plain_contamination(few, items))]
+
+
+def test_contamination_odd(spark):
+    none = spark.createDataFrame([], "item_id long, text string")
+    assert [r.n_hit for r in decontam.contamination(frame(spark, ["a b", None]), none).collect()] == [0, 0]
+    assert decontam.contamination(frame(spark, []), none).count() == 0
+
+
+# ---- 5 ---------------------------------------------------------------------------------
+def test_resampling(spark):
+    good, rng = prose(11, 300), random.Random(3)
+    bad = [" ".join(f"{w} vile" if rng.random() < 0.2 else w for w in t.split()) for t in prose(12, 100)]
+    texts, n = [*good, *bad, None, ""], 402
+    labels = spark.createDataFrame([(k, int(k % 3 > 0 or k < 300), int(k >= 300 and k % 3 > 0), "x") for k in range(0, 400, 2)] + [(None, 1, 0, "x"), (3, None, None, "x")], "doc_id long, quality int, toxic int, text string")
+    got = {r.doc_id: r for r in dsir.resample(frame(spark, texts), labels).collect()}
+    assert len(got) == n
+    assert np.mean([got[k].kept for k in range(1, 300, 2)]) > 0.97  # held out
+    assert np.mean([got[k].kept for k in range(301, 400, 2)]) < 0.05
+    assert got[400].kept and got[401].evidence == 0
+    fitted = dsir.fit(frame(spark, texts), labels)
+    assert sorted(r.doc_id for r in fitted.accepted(frame(spark, texts)).collect()) == sorted(k for k in got if got[k].kept)
+    half = dsir.resample(frame(spark, texts), labels, dsir.Resampling(share=0.25)).collect()
+    able = [r for r in half if got[r.doc_id].kept]
+    k = math.ceil(0.25 * len(able))
+    assert {r.doc_id for r in half if r.kept} == {r.doc_id for r in sorted(able, key=lambda r: -r.gumbel_key)[:k]}
+
+
+def test_resampling_odd(spark):
+    none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    assert all(r.kept for r in dsir.resample(frame(spark, ["a", None], [None, 1]), none).collect())
+    assert dsir.resample(frame(spark, []), none).count() == 0
+
+
+# ---- 6 ---------------------------------------------------------------------------------
+def test_units(texts):
+    odd = ["a  b", "a \n b", " a", "a ", "", "\n\n x", "foo\n <|endoftext|>bar", "a\x1c b", "é ́x", "İ Σας", "a's don't 12ab 3.4", "x\ny z\n", "a <|startoftext|> b"]
+    for name, keeps in (("byte_bpe_50k.json", True), ("word_bpe_49k.json", False)):
+        e = UnitEncoder(queries.tokenizer(name), keeps)
+        for t in [*odd, *(t or "" for t in texts)]:
+            assert e.ids(t) == e.whole(t), t
+
+
+def test_token_files(spark, texts, tmp_path):
+    e = UnitEncoder(queries.tokenizer("byte_bpe_50k.json"), True)
+    want, start = [], 0
+    for k, t in enumerate(texts):
+        data = e.whole(t or "") + np.array([2], "<u4").tobytes()
+        want.append((k, start, len(data) // 4, zlib.crc32(data)))
+        start += len(data) // 4
+    docs = frame(spark, texts[::-1], range(len(texts))[::-1])
+    got = token_store.token_documents(docs, queries.tokenizer("byte_bpe_50k.json"), folder=f"file://{tmp_path}/t", files=3)
+    assert near(tuple(r)[:4] for r in got.collect()) == want
+    assert token_store.token_documents(frame(spark, []), queries.tokenizer("byte_bpe_50k.json")).count() == 0
+    twice = token_store.token_documents(frame(spark, ["a", "a", None], [1, 1, None]), queries.tokenizer("byte_bpe_50k.json"), files=2)
+    assert near((r.start, r.doc_id or 0, r.n_tokens) for r in twice.collect()) == [(0, 0, 1), (1, 1, 2), (3, 1, 2)]
+
+
+def test_token_file_reads_one_frame_and_checks_it():
+    out = io.BytesIO()
+    writer = token_store.TokenFileWriter(out, 2, 2)
+    for k in range(5):
+        writer.add(k, np.arange(k * 10))
+    writer.close()
+    data = bytearray(out.getvalue())
+    reader = token_store.TokenFileReader(io.BytesIO(bytes(data)))
+    assert reader.document(3).tolist() == list(range(30)) and reader.lengths().tolist() == [0, 10, 20, 30, 40]
+    start = int(reader.starts[4])
+    data[start + 9] ^= 0xFF
+    broken = token_store.TokenFileReader(io.BytesIO(bytes(data)))
+    assert broken.document(4).tolist() == list(range(40))  # frames are independent
+    with pytest.raises(Exception):  # noqa: B017
+        broken.document(3)
+    import zstandard
+
+    whole = zstandard.ZstdDecompressor().stream_reader(io.BytesIO(out.getvalue()), read_across_frames=True).read()
+    assert len(whole) == 2 * 100
+
+
+# ---- 7 ---------------------------------------------------------------------------------
+def test_token_counts(spark, texts):
+    import sentencepiece
+
+    model = queries.tokenizer("piece_bpe_32k.model")
+    sp = sentencepiece.SentencePieceProcessor(model_file=model)
+    rng = random.Random(2)
+    more = ["".join(rng.choice("abcdeou thn.  \n,éñTHE-12▁") for _ in range(rng.randrange(400))) for _ in range(80)]
+    more += ["".join(rng.choice("aeinorst") for _ in range(3000)), " " * 700 + "b", "<s>a</s>", "😀 a", "".join(map(chr, range(0x3400, 0x3900)))]
+    all_ = [*texts, *more]
+    got = near(token_count.token_counts(frame(spark, all_), model, 100).collect())
+    n = [len(sp.encode(t or "", num_threads=1)) for t in all_]
+    assert got == [(k, len((t or "").encode()), c, c > 100) for k, (t, c) in enumerate(zip(all_, n, strict=True))]
+    assert token_count.token_counts(frame(spark, []), model).count() == 0
+
+
+def test_crowded_transducer(monkeypatch):
+    monkeypatch.setattr(token_count, "CLASSES", 12)
+    t = token_count.Transducer(queries.tokenizer("piece_bpe_32k.model"))
+    import sentencepiece
+
+    sp = sentencepiece.SentencePieceProcessor(model_file=queries.tokenizer("piece_bpe_32k.model"))
+    held = ["the quick brown fox", "jumps over", "中é"]
+    assert t.counts(held).tolist() == [len(sp.encode(x)) for x in held]
+
+
+# ---- 8 ---------------------------------------------------------------------------------
+def test_kneser_ney(spark, texts):
+    lower = str.maketrans({chr(65 + k): chr(97 + k) for k in range(26)})
+    held = [[*words_of((t or "").translate(lower)), None] for t in texts]
+    out = [zlib.crc32(str(k).encode()) % 10 == 0 for k in range(len(texts))]
+    one, two = Counter(), Counter()
+    for w, o in zip(held, out, strict=True):
+        if not o:
+            one.update(w)
+            two.update(zip(["<s>", *w[:-1]], w, strict=True))
+    lower_order = Counter(w for _, w in two)
+
+    def numbers(counts):
+        return tuple(sum(c == k for c in counts.values()) for k in range(1, 5))
+
+    off, low = kneser_ney.discounts(numbers(two)), kneser_ney.discounts(numbers(lower_order))
+    n, v, follow, kinds = sum(one.values()), len(one), Counter(), defaultdict(lambda: [0, 0, 0])
+    for (a, _), c in two.items():
+        follow[a] += c
+        kinds[a][min(c, 3) - 1] += 1
+    spare = sum(low[min(c, 3)] for c in lower_order.values())
+
+    def p(a, w):
+        q = (lower_order[w] - low[min(lower_order[w], 3)] + spare / (v + 1)) / len(two)
+        if a not in follow:
+            return q
+        return (two[a, w] - off[min(two[a, w], 3)] + sum(x * y for x, y in zip(kinds[a], off[1:], strict=True)) * q) / follow[a]
+
+    got = {r.doc_id: r for r in kneser_ney.score_documents(frame(spark, texts)).collect()}
+    for k, w in enumerate(held):
+        assert tuple(got[k])[1:5] == (out[k], len(w), sum(x in one for x in w), n)
+        assert got[k].base_score == pytest.approx(sum(math.log10((one[x] + 0.1) / (n + 0.1 * (v + 1))) for x in w))
+        assert got[k].score == pytest.approx(sum(math.log10(p(a, x)) for a, x in zip(["<s>", *w[:-1]], w, strict=True)))
+    assert sum(p("w1", w) for w in one) + p("w1", "none at all") == pytest.approx(1)
+
+
+def test_kneser_ney_odd(spark):
+    assert kneser_ney.score_documents(frame(spark, [])).count() == 0
+    alone = kneser_ney.score_documents(frame(spark, ["a"], [k for k in range(99) if zlib.crc32(str(k).encode()) % 10 == 0][:1])).first()
+    assert alone.held_out and alone.train_tokens == 0 and alone.score == 0
+
+
+# ---- 9 ---------------------------------------------------------------------------------
+def test_packing(spark, texts):
+    e = UnitEncoder(queries.tokenizer("word_bpe_49k.json"), False)
+    whole = {k: np.frombuffer(e.whole(t or "") + np.array([1], "<u4").tobytes(), "<u4") for k, t in enumerate(texts)}
+    rows = packing.pack_documents(frame(spark, texts), queries.tokenizer("word_bpe_49k.json"), size=256).collect()
+    place, seen = defaultdict(list), Counter()
+    for r in rows:
+        ids = whole[r.doc_id][r.start : r.start + r.length]
+        assert r.start == 256 * r.piece and len(ids) == r.length and zlib.crc32(ids.tobytes()) == r.ids_crc32
+        seen[r.doc_id] += r.length
+        place[r.sequence_id].append((r.offset, r.length))
+    assert seen == {k: len(w) for k, w in whole.items()}
+    for spots in place.values():
+        at = 0
+        for offset, length in sorted(spots):
+            assert offset == at
+            at += length
+        assert at <= 256
+    assert len(place) == packing.least_sequences(Counter(r.length for r in rows), 256)
+    assert packing.pack_documents(frame(spark, []), queries.tokenizer("word_bpe_49k.json")).count() == 0
+
+
+def test_bin_completion():
+    rng = random.Random(4)
+    # full sequences cut in pieces: the best packing is known, and first fits miss it
+    for size, bins in ((100, 12), (64, 20)):
+        counts = Counter()
+        for _ in range(bins):
+            cuts = sorted(rng.sample(range(1, size), 2))
+            counts.update([cuts[0], cuts[1] - cuts[0], size - cuts[1]])
+        packed = packing.pack(dict(counts), size)
+        assert sum((Counter({x: k * n for x, k in Counter(p).items()}) for p, n in packed.items()), Counter()) == counts
+        assert all(sum(p) <= size for p in packed) and bins <= sum(packed.values()) <= sum(packing.best_fit_decreasing(dict(counts), size).values())
+    assert sum(packing.pack({6: 2, 4: 4, 3: 4}, 10).values()) == 4
+    assert not packing.pack({}, 10)
+
+
+# ---- 10 --------------------------------------------------------------------------------
+PRIVATE = [
+    "Write to John.Doe@mail1.example.com or +1 (743) 555-3824, card 4111 1111 1111 1111.",
+    "john.doe@mail1.example.com again; JANE@X.ORG; host 10.0.0.7; token = \"04dbebab91ab85687d33eeaaf9ac699e1188f962\"",
+    "Mr. John Smith met Frau Müller. Г-жа Иванова. Card 4111-1111-1111-1111, order 9807915762804490, version 2.0.",
+    "SSN 123-45-6789, IBAN DE89 3704 0044 0532 0130 00 and Mr. John Smith",
+]
+
+
+def test_surrogates(spark):
+    clean = ["nothing here", "", None, "3.5 of 12, +1", "x" * 3000]
+    docs = frame(spark, [*PRIVATE, *clean, PRIVATE[0]])
+    rows = {r.doc_id: r for r in surrogates.replaced(docs, count="found").collect()}
+    assert [rows[4 + k].text for k in range(5)] == clean and rows[4].found == 0
+    a, b, c, d = (rows[k].text for k in range(4))
+    assert rows[9].text == a and rows[9].row == "r"
+    for old in ("John.Doe", "743) 555-3824", "4111 1111", "john.doe", "JANE@X", "10.0.0.7", "04dbebab", "Smith", "Müller", "Иванова", "123-45-6789", "3704 0044"):
+        assert not any(old in t for t in (a, b, c, d)), old
+    assert "9807915762804490" in c and "version 2.0" in c
+    mail = re.search(r"\S+@\S+\.com", a)[0]
+    assert mail.lower() == re.match(r"\S+", b)[0] and re.fullmatch(r"[a-z]+\.[a-z]+@[a-z]+\d\.[a-z]+\.com", mail)
+    assert re.search(r"[A-Z]+@[A-Z]\.ORG", b) and re.search(r"\+1 \(\d{3}\) \d{3}-\d{4}", a)
+    spaced, dashed = re.search(r"\d{4} \d{4} \d{4} \d{4}", a)[0], re.search(r"\d{4}-\d{4}-\d{4}-\d{4}", c)[0]
+    assert spaced.replace(" ", "-") == dashed
+    digits = [int(x) for x in re.sub(r"\D", "", spaced)][::-1]
+    assert sum(x if k % 2 == 0 else sum(divmod(2 * x, 10)) for k, x in enumerate(digits)) % 10 == 0
+    assert re.search(r"Mr\. \w+ \w+", c)[0] == re.search(r"Mr\. \w+ \w+", d)[0]
+    assert re.search(r"Frau [A-Z][a-z]+a\.", c) and re.search(r"Г-жа [А-Я][а-я]+а\.", c)
+    assert re.search(r"DE\d\d \d{4} \d{4} \d{4} \d{4} \d\d", d)
+    assert near(surrogates.replaced(docs).select("doc_id", "text").where("doc_id < 4").collect()) == [(k, rows[k].text) for k in range(4)]
+
+
+def test_surrogates_stay_distinct(spark):
+    """More short addresses than there are letters: proposals collide and grow."""
+    texts = [f"{c}@{d}.com" for c in "abcdefghijklmnopqrstuvwxyz" for d in "abcdefghijklmnopqrstuvwxyz"]
+    rows = surrogates.replaced(frame(spark, texts)).collect()
+    assert len({r.text for r in rows}) == len(texts) and not {r.text for r in rows} & set(texts)
+    assert surrogates.replaced(frame(spark, [])).count() == 0
