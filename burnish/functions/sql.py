@@ -7,6 +7,7 @@ from dataclasses import replace
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.expressions import inlined
 from ..functions.types import spark_type
 from ..operators.base import BaseCleaner
 from ..operators.country import CountryCleaner
@@ -27,7 +28,8 @@ def register(spark: SparkSession, name: str, cleaner: BaseCleaner) -> str:
 
 def _sql(spark: SparkSession, cleaner: BaseCleaner) -> str:
     """The expression over v as SQL text, from the analysed plan."""
-    frame = spark.createDataFrame([], "v string").select(cleaner.clean_expr(F.col("v")).alias("out"))
+    with inlined():
+        frame = spark.createDataFrame([], "v string").select(cleaner.clean_expr(F.col("v")).alias("out"))
     analysed = frame._jdf.queryExecution().analyzed()
     expression = analysed.projectList().head().child()
     return expression.sql()

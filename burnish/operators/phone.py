@@ -10,7 +10,7 @@ from typing import ClassVar
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..functions.expressions import WS_CHARS, ascii_digits, stripped
+from ..functions.expressions import WS_CHARS, ascii_digits, let, stripped
 from .base import BaseCleaner, named
 
 
@@ -83,6 +83,10 @@ class PhoneCleaner(BaseCleaner):
         scientific = c.rlike(r"\A\d+(?:\.\d+)?[eE][+-]?\d+\z")
         c = F.when(scientific, F.when(number < 1e18, number.cast("decimal(38,0)").cast("string"))).otherwise(c)
         run = F.regexp_extract(c, rf"\+?\(?\d[\d{WS_CHARS}().\-/]{{4,}}\d", 0)
+        return (let(run, self.of_run),)
+
+    def of_run(self, run: Column) -> Column:
+        """The result from the characters that may be a number."""
         digits = F.regexp_replace(run, r"\D", "")
         abroad = run.startswith("+")
         found = []
@@ -100,7 +104,7 @@ class PhoneCleaner(BaseCleaner):
         out = F.when(*found[0])
         for condition, value in found[1:]:
             out = out.when(condition, value)
-        return (out,)
+        return out
 
     def written(self, plan: Plan, national: Column) -> Column:
         if self.out_format is PhoneFormat.E164:

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..functions.expressions import NWS, WORD, WS, WS_CHARS
+from ..functions.expressions import NWS, WORD, WS_CHARS, WS_RUN, let
 from .base import BaseCleaner, named
 
 
@@ -26,9 +27,10 @@ class TextCleaner(BaseCleaner):
 
     def parts(self, c: Column) -> tuple[Column]:
         if self.remove_html:
-            c = F.regexp_replace(c, "<[^>]+>", " ")
+            c = F.when(F.contains(c, F.lit("<")), F.regexp_replace(c, "<[^>]+>", " ")).otherwise(c)
         if self.remove_urls:
-            c = F.regexp_replace(c, rf"https?://{NWS}+|www\.{NWS}+", "")
+            held = F.contains(c, F.lit("://")) | F.contains(c, F.lit("www."))
+            c = F.when(held, F.regexp_replace(c, rf"https?://{NWS}+|www\.{NWS}+", "")).otherwise(c)
         if self.remove_emails:  # without an @ the pattern would only cost time
             c = F.when(F.instr(c, "@") > 0, F.regexp_replace(c, rf"(?<!{NWS}){NWS}+@{NWS}+", "")).otherwise(c)
         if self.remove_digits:
@@ -39,7 +41,7 @@ class TextCleaner(BaseCleaner):
             c = F.regexp_replace(c, r"[\x00-\x1f\x7f-\x9f]", " ")
         else:
             c = F.regexp_replace(c, r"[\x00-\x08\x0a-\x1f\x7f-\x9f]", "")
-        c = F.btrim(F.regexp_replace(c, f"{WS}+", " "))
+        c = F.btrim(F.regexp_replace(c, WS_RUN, " "))
         if self.lowercase:
             c = F.lower(c)
         return (F.nullif(c, F.lit("")),)
@@ -67,10 +69,17 @@ class EmailCleaner(BaseCleaner):
         return (("local", "str"), ("tag", "str"), ("domain", "str")) if self.split_components else "str"
 
     def parts(self, c: Column) -> tuple[Column, ...]:
-        def group(k: int) -> Column:  # no match gives an empty string
-            return F.when(F.instr(c, "@") > 0, F.nullif(F.regexp_extract(c, self.PATTERN, k), F.lit("")))
+        hit = F.when(F.contains(c, F.lit("@")), F.nullif(F.regexp_extract(c, self.PATTERN, 0), F.lit("")))
+        if self.split_components:
+            return tuple(let(hit, self.pick(k)) for k in range(3))
+        return (let(hit, self.pick(0)),)
+
+    def pick(self, k: int) -> Callable[[Column], Column]:
+        return lambda hit: self.made(hit)[k]
 
-        before, domain = group(1), group(2)
+    def made(self, hit: Column) -> tuple[Column, ...]:
+        """The outputs from an address."""
+        before, domain = F.substring_index(hit, "@", 1), F.substring_index(hit, "@", -1)
         local = F.substring_index(before, "+", 1)
         tag = F.when(F.instr(before, "+") > 0, F.substring(before, F.length(local) + 2, F.length(before)))
         if not self.keep_dots:
