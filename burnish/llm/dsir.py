@@ -8,7 +8,7 @@ of a bucket is log((t + k) / (r T / R + k)): t and r are its counts, T and R all
 counts, and k keeps n-grams that are too rare to tell anything near zero.
 
 log_weight is the sum of a text's log ratios, the importance weight of the method.
-`evidence` sums what lies below -margin: n-grams that the raw text holds far more
+`evidence` sums what lies below the margins: n-grams that the raw text holds far more
 often than target text does. A text whose evidence is below the threshold has weight
 zero. Among the others, Gumbel noise keyed by doc_id is added to log_weight and the
 top k keys are taken, which samples k texts without replacement in proportion to
@@ -48,8 +48,11 @@ BLOCKS = 32
 @dataclass(frozen=True)
 class Resampling:
     sample: int = 50_000
-    smoothing: float = 2.0
-    margin: float = 1.0
+    smoothing: float = 1.0
+    #: Of words and of word pairs; pairs count by their weight, as there are many rare ones.
+    margin: float = 1.5
+    pair_margin: float = 1.0
+    pair_weight: float = 0.25
     share: float = 1.0
     seed: int = 42
     #: How much a rejected good text counts against a kept bad one.
@@ -120,7 +123,7 @@ def log_ratios(counts: np.ndarray, smoothing: float) -> np.ndarray:
     return np.log((target + smoothing) / (raw * scale + smoothing)).astype(np.float32)
 
 
-def text_scores(words: Words, ratios: np.ndarray, margin: float) -> tuple[np.ndarray, np.ndarray]:
+def text_scores(words: Words, ratios: np.ndarray, how: Resampling) -> tuple[np.ndarray, np.ndarray]:
     """log_weight and evidence of each text."""
     if not len(words):
         return np.zeros(len(words.count)), np.zeros(len(words.count))
@@ -128,7 +131,7 @@ def text_scores(words: Words, ratios: np.ndarray, margin: float) -> tuple[np.nda
     a, b, c, d = (ratios[k][rows[k]].astype(float) for k in range(TABLES))
     one = np.where(np.abs(a) < np.abs(b), a, b)
     two = np.where(follows, np.where(np.abs(c) < np.abs(d), c, d), 0)
-    both = np.stack([one + two, np.minimum(one + margin, 0) + np.minimum(two + margin, 0)])
+    both = np.stack([one + two, np.minimum(one + how.margin, 0) + how.pair_weight * np.minimum(two + how.pair_margin, 0)])
     total = np.concatenate([np.zeros((2, 1)), np.cumsum(both, axis=1)], axis=1)
     weight, evidence = np.diff(total[:, words.first], axis=1)
     return weight, np.round(evidence, 9)
@@ -172,26 +175,26 @@ class Classifier:
 
     def scores(self, docs: DataFrame) -> DataFrame:
         """doc_id, log_weight, evidence for each row of docs."""
-        table, margin = self.ratios, self.how.margin
+        table, how = self.ratios, self.how
         schema = pa.schema([("doc_id", pa.int64()), ("log_weight", pa.float64()), ("evidence", pa.float64())])
 
         def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for first, last, words in parts(batch):
-                    yield _shared.arrow_out(schema, [batch.column("doc_id").slice(first, last - first), *text_scores(words, table.value, margin)])
+                    yield _shared.arrow_out(schema, [batch.column("doc_id").slice(first, last - first), *text_scores(words, table.value, how)])
 
         plain = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"))
         return plain.mapInArrow(score, "doc_id long, log_weight double, evidence double")
 
     def accepted(self, docs: DataFrame) -> DataFrame:
         """The rows of docs that are not rejected, whole and in place: no shuffle."""
-        table, margin, cut = self.ratios, self.how.margin, self.cut
+        table, how, cut = self.ratios, self.how, self.cut
         place = next(k for k, c in enumerate(docs.columns) if c.lower() == "text")
         inner = docs.toDF(*["text" if k == place else f"c{k}" for k in range(len(docs.columns))])
 
         def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                good = [text_scores(words, table.value, margin)[1] >= cut for _, _, words in parts(batch)]
+                good = [text_scores(words, table.value, how)[1] >= cut for _, _, words in parts(batch)]
                 if good:
                     yield batch.filter(pa.array(np.concatenate(good)))
 
