@@ -42,10 +42,17 @@ def written(df: DataFrame, name: str) -> DataFrame:
     there, and a lost executor costs no recomputation of what came before."""
     spark = df.sparkSession
     path = fresh_path(spark, name)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(df: DataFrame) -> None:
+    """Remove a written table that nothing needs any more."""
+    for file in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(file)
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def prepare(spark: SparkSession) -> None:
     """Small Arrow batches, since one text may be very long, and this package on
     the workers' path (once for each Spark context)."""

@@ -248,8 +248,13 @@ def repeated_places(docs: DataFrame) -> DataFrame:
                     yield _shared.arrow_out(schema, [*(k[first:last][of] for k in keys), h, place - words.first[of]])
 
     found = _shared.written(docs.select("doc", "th", "text").mapInArrow(run, "doc long, th long, h long, place int"), "anchors")
-    often = found.groupBy("h").count().where("count > 1").select("h")
-    return found.join(often, "h", "left_semi").groupBy("doc", "th").agg(F.collect_set("place").alias("places"))
+    # Written first, so that the join stands alone and a hot anchor's rows can be split.
+    often = _shared.written(found.groupBy("h").count().where("count > 1").select("h"), "often")
+    places = found.join(often, "h", "left_semi").groupBy("doc", "th").agg(F.collect_set("place").alias("places"))
+    out = _shared.written(places, "repeated")
+    for done in (found, often):
+        _shared.discard(done)
+    return out
 
 
 STAGE = pa.schema([("kind", pa.int32()), ("doc_id", pa.int64()), ("doc", pa.int64()), ("th", pa.int64()), ("n_words", pa.int64()), ("sha", pa.string()), ("text", pa.string()), ("place", pa.int32()), *ROWS][:-1])
@@ -321,8 +326,9 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     plain = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"))
     # Rows that are alike in both columns have one key and the same fate.
     keyed = plain.withColumn("doc", F.coalesce("doc_id", F.lit(-1))).withColumn("th", F.xxhash64("text"))
-    places = _shared.written(repeated_places(keyed), "repeated")
+    places = repeated_places(keyed)
     stage = _shared.written(_staged(keyed.join(places, ["doc", "th"], "left").select("doc_id", "doc", "th", "text", "places")), "contexts")
+    _shared.discard(places)
     contexts = stage.where("kind = 2")
     distinct = contexts.groupBy("core", "sub", "lo", "hi", "context").agg(F.count("*").alias("n")).select(*ROWS.names)
     masks = _masks(_shared.written(distinct, "distinct"))
