@@ -27,7 +27,7 @@ def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_quality_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .repetition import judge
 
-    return judge(table(spark, sf_dir, "documents"))
+    return judge(table(spark, sf_dir, "documents")).drop("longest_repeat")
 
 
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -84,6 +84,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     from .decontam import ORACLE_SQL as decontamination
+    from .repetition import ORACLE_SQL as repetition
     from .substring import ORACLE_SQL as substring
 
-    return {"op3_substring_dedup": substring, "op4_decontamination": decontamination}
+    return {"op2_quality_repetition": repetition, "op3_substring_dedup": substring, "op4_decontamination": decontamination}

@@ -166,3 +166,28 @@ def judge(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
 
     plain = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"))
     return plain.mapInArrow(run, SCHEMA)
+
+
+#: A word is inside a repeat of eight words or more if it is inside an eight-word window
+#: that its text holds twice, and a repeat of over 100 words is a 101-word window held twice.
+ORACLE_SQL = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+p AS (
+  SELECT doc_id, k, s, md5(array_to_string(w[s + 1:s + k], ' ')) AS win
+  FROM (SELECT doc_id, w, k, unnest(range(len(w) - k + 1)) AS s FROM d, (VALUES (3), (8), (101)) v(k) WHERE len(w) >= k)),
+r AS (SELECT doc_id, k, win FROM p GROUP BY doc_id, k, win HAVING count(*) > 1),
+c AS (
+  SELECT doc_id, count(DISTINCT pos) FILTER (k = 3) AS repeated, count(DISTINCT pos) FILTER (k = 8) AS covered, count(*) FILTER (k = 101) AS long
+  FROM (SELECT doc_id, k, unnest(range(s, s + k)) AS pos FROM p JOIN r USING (doc_id, k, win)) GROUP BY doc_id),
+l AS (
+  SELECT doc_id, count(*) - count(DISTINCT line) AS dup
+  FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS line FROM d) WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY doc_id),
+a AS (
+  SELECT d.doc_id, len(w)::BIGINT AS n_words, len(array_to_string(w, ''))::BIGINT AS word_chars, len(regexp_extract_all(t, '[#*$%&|<>]'))::BIGINT AS n_symbols,
+    coalesce(dup, 0)::BIGINT AS n_dup_lines, coalesce(repeated, 0)::BIGINT AS n_repeat_words, coalesce(covered, 0)::BIGINT AS n_covered, coalesce(long, 0) AS long
+  FROM d LEFT JOIN c USING (doc_id) LEFT JOIN l USING (doc_id)),
+b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM a)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, n_covered,
+  NOT base_failed AND 100 * n_covered <= 30 * n_words AND long = 0 AS kept
+FROM b
+"""
