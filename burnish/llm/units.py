@@ -20,6 +20,7 @@ import numpy as np
 #: Units of one generation of a worker's cache; two generations are kept.
 CACHE_UNITS = 300_000
 
+ENDS = (".", ",")
 PLAIN = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+|[0-9]+|[.,!?;:#$%&*|()+@_=<>/\"-]+|\n")
 
 
@@ -54,6 +55,7 @@ class UnitEncoder(dict):
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.keeps_space = keeps_space
         self.letters = byte_letters()
+        self.start = self.letters[0x20]
         self.old: dict[str, bytes] = {}
         self.pieces: dict[str, bytes] = {}
 
@@ -63,13 +65,16 @@ class UnitEncoder(dict):
     def piece(self, text: str) -> bytes:
         found = self.pieces.get(text)
         if found is None:
-            shown = text.encode().decode("latin-1").translate(self.letters)
-            found = array("I", [t.id for t in self.model.tokenize(shown)]).tobytes()
+            found = self.merged(text.encode().decode("latin-1").translate(self.letters))
             if len(self.pieces) >= CACHE_UNITS:
                 self.pieces.clear()
             self.pieces[text] = found
         return found
 
+    def merged(self, shown: str) -> bytes:
+        """ids of one piece, in the letters of the vocabulary."""
+        return array("I", [t.id for t in self.model.tokenize(shown)]).tobytes()
+
     def __missing__(self, unit: str) -> bytes:
         value = self.old.get(unit)
         if value is None:
@@ -80,6 +85,12 @@ class UnitEncoder(dict):
     def coded(self, unit: str) -> bytes:
         if self.keeps_space and (not unit or unit[0].isspace()):
             raise Risky
+        if unit.isascii():
+            # Most units are a word, or a word and a full stop or comma; their letters stand for themselves.
+            word, mark = (unit[:-1], unit[-1]) if unit[-1:] in ENDS else (unit, "")
+            if word.isalpha():
+                ids = self.merged(self.start + word if self.keeps_space else word.lower())
+                return ids + self.piece(mark) if mark else ids
         found = PLAIN.findall(unit)
         if sum(map(len, found)) != len(unit) or "\n\n" in unit or unit.endswith("\n"):
             return self.whole(" " + unit if self.keeps_space else unit)
