@@ -44,3 +44,26 @@ def test_registered():
     names = entry.queries()
     assert [sum(n.startswith(f"op{k}_") for n in names) for k in range(1, 11)] == [1] * 10 and "pipeline" in names
     assert set(entry.oracle_sql()) <= set(names)
+
+
+def test_near_duplicates_are_found(spark):
+    """Copies with a word changed in every hundred go, texts below 0.8 stay."""
+    base = [" ".join(f"d{k}w{i}" for i in range(300)) for k in range(8)]
+
+    def edited(text, step):
+        return " ".join("new" if i % step == step // 2 else w for i, w in enumerate(text.split()))
+
+    texts = [*base, *(edited(t, 100) for t in base), *(edited(t, 40) for t in base)]
+
+    def grams(text):
+        words = text.split()
+        return {tuple(words[i : i + 5]) for i in range(len(words) - 4)}
+
+    def alike(a, b):
+        return len(grams(a) & grams(b)) / len(grams(a) | grams(b)) >= 0.8
+
+    assert alike(base[0], texts[8]) and not alike(base[0], texts[16])
+    docs = spark.createDataFrame([*((k, t) for k, t in enumerate(texts)), (None, texts[8]), (None, "alone"), (3, "other text")], "doc_id long, text string")
+    kept = corpus_pipeline.near_dedup(spark, docs, "").collect()
+    assert {(r.doc_id, r.text) for r in kept} == {*((k, texts[k]) for k in [*range(8), *range(16, 24)]), (None, "alone"), (3, "other text")}
+    assert len(kept) == 18
