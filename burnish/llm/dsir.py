@@ -9,8 +9,10 @@ counts, and k keeps n-grams that are too rare to tell anything near zero.
 
 log_weight is the sum of a text's log ratios, the importance weight of the method.
 `evidence` sums what lies below the margins: n-grams that the raw text holds far more
-often than target text does. A text whose evidence is below the threshold has weight
-zero. Among the others, Gumbel noise keyed by doc_id is added to log_weight and the
+often than target text does. It is the least sum of any `window` words in a row (of all
+words of a shorter text), so that a text isn't rejected for its length, and a bad
+passage isn't thinned out by a long text around it. A text whose evidence is below the
+threshold has weight zero. Among the others, Gumbel noise keyed by doc_id is added to log_weight and the
 top k keys are taken, which samples k texts without replacement in proportion to
 weight; k is `share` of the texts with a weight. With share 1 all of them stay, so
 clean text isn't thinned out.
@@ -53,6 +55,8 @@ class Resampling:
     margin: float = 1.5
     pair_margin: float = 1.0
     pair_weight: float = 0.25
+    #: Words that evidence is summed over.
+    window: int = 50
     share: float = 1.0
     seed: int = 42
     #: How much a rejected good text counts against a kept bad one.
@@ -133,7 +137,12 @@ def text_scores(words: Words, ratios: np.ndarray, how: Resampling) -> tuple[np.n
     two = np.where(follows, np.where(np.abs(c) < np.abs(d), c, d), 0)
     both = np.stack([one + two, np.minimum(one + how.margin, 0) + how.pair_weight * np.minimum(two + how.pair_margin, 0)])
     total = np.concatenate([np.zeros((2, 1)), np.cumsum(both, axis=1)], axis=1)
-    weight, evidence = np.diff(total[:, words.first], axis=1)
+    weight = np.diff(total[0, words.first])
+    # No term is above zero, so the shorter windows at a text's end are never the least.
+    at = np.arange(len(one))
+    sums = total[1, np.minimum(at + how.window, words.last)] - total[1, at]
+    evidence, held = np.zeros(len(words.count)), np.flatnonzero(words.count)
+    evidence[held] = np.minimum.reduceat(sums, words.first[held])
     return weight, np.round(evidence, 9)
 
 

@@ -235,6 +235,23 @@ def test_resampling_odd(spark):
     assert dsir.resample(frame(spark, []), none).count() == 0
 
 
+def test_length_alone_rejects_nothing(spark):
+    """Many accepted texts in one stay; a bad passage inside a long text is found."""
+    good, rng = prose(11, 400), random.Random(3)
+    rare = [" ".join(f"{w} odd" if rng.random() < 0.002 else w for w in t.split()) for t in good]
+    bad = [" ".join(f"{w} odd vile" if rng.random() < 0.2 else w for w in t.split()) for t in prose(12, 100)]
+    labels = spark.createDataFrame([(k, int(k < 400), 0) for k in range(0, 500, 2)], "doc_id long, quality int, toxic int")
+    fitted = dsir.fit(frame(spark, [*rare, *bad]), labels)
+    taken = [r.text for r in fitted.accepted(frame(spark, rare)).collect()]
+    assert len(taken) > 0.97 * len(rare)
+    joined = [" ".join(rng.choices(taken, k=50)) for _ in range(20)]
+    with_bad = [f"{t} {bad[k]} {t}" for k, t in enumerate(joined)]
+    ids = {r.doc_id for r in fitted.accepted(frame(spark, [*joined, *with_bad])).collect()}
+    assert len(ids & set(range(20))) >= 19 and len(ids & set(range(20, 40))) <= 1
+    worst = [r.evidence for r in fitted.scores(frame(spark, [bad[0], f"{joined[0]} {bad[0]} {joined[0]}"])).orderBy("doc_id").collect()]
+    assert worst[1] <= worst[0] < fitted.cut
+
+
 # ---- 6 ---------------------------------------------------------------------------------
 def test_units(texts):
     odd = ["a  b", "a \n b", " a", "a ", "", "\n\n x", "foo\n <|endoftext|>bar", "a\x1c b", "é ́x", "İ Σας", "a's don't 12ab 3.4", "x\ny z\n", "a <|startoftext|> b"]
