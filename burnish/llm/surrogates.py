@@ -32,16 +32,27 @@ from . import _shared
 TEXT = "text"
 MALE, FEMALE = "Mr|Herr|Señor|Monsieur|Signor|Г-н|Κύριος", "Mrs|Ms|Miss|Frau|Señora|Madame|Signora|Г-жа|Κυρία"
 OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
+ADDRESS = rf"{OCTET}(?:\.{OCTET}){{3}}(?!\d|\.\d)"
+#: Country codes: one digit, two, else three.
+COUNTRY = r"(?:[17]|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|\d{3})"
+#: What ends an international number once it has seven digits: a number that reads as
+#: a card, a social security number or a telephone number itself.
+OTHER = r"\d{4}[ -]\d{4}[ -]\d{4}[ -]\d{4}(?!\d|[ -]\d{4}(?!\d))|\d{4}[ -]\d{6}[ -]\d{4,5}(?!\d)|\d{13}|\d{3}-\d{2}-\d{4}(?![\d-])|\d{3}[ .-]\d{3}[ .-]\d{4}(?![\d-])"
+# A repeated group has no known length for Java's lookbehind, so it is written out.
+NEXT = rf"(?!{ADDRESS})(?!(?<={r'\d[ .()-]{0,2}' * 7})(?:{OTHER}))"
+SIXTEEN = r"\d[ .()-]{0,2}" * 15 + r"\d"
 
 #: Kinds in order of precedence. None has a capturing group.
 PATTERNS = {
     "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+",
-    "ip": rf"(?<![\d.]){OCTET}(?:\.{OCTET}){{3}}(?!\d|\.\d)",
+    "ip": rf"(?<![\d.]){ADDRESS}",
     "iban": r"(?<![\p{L}\p{N}])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![\p{L}\p{N}])",
     "secret": r"(?<![\p{L}\p{N}])(?=[0-9a-fA-F]*[a-fA-F])(?=[0-9a-fA-F]*\d)[0-9a-fA-F]{32,128}(?![\p{L}\p{N}])",
     "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
     "card": r"(?<![\d+(.-])\d(?:[ -]?\d){12,18}(?![\d-])",
-    "phone": r"(?<![\p{L}\d+])\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,5}(?:[ .-]?\d{2,5}){1,4}(?!\d)|(?<![\d(])\(\d{3}\)[ .-]?\d{3}[ .-]\d{4}(?!\d)|(?<![\d.-])\d{3}[ .-]\d{3}[ .-]\d{4}(?![\d-])",
+    # Ten digits after +1 and +7, elsewhere up to 15 with the country code.
+    "phone": rf"(?<![\p{{L}}\d+])\+[17][ .-]?(?:\(\d{{3}}\)|\d{{3}})[ .-]?\d{{3}}[ .-]?\d{{2}}[ .-]?\d{{2}}(?!\d)|(?<![\p{{L}}\d+])\+\d{{1,3}}[ .-]?(?:\(\d{{1,4}}\)[ .-]?)?{NEXT}\d{{2,5}}(?:[ .-]?{NEXT}\d{{2,5}}){{1,4}}(?!\d)(?<!{SIXTEEN})"
+    r"|(?<![\d(])\(\d{3}\)[ .-]?\d{3}[ .-]\d{4}(?!\d)|(?<![\d.-])\d{3}[ .-]\d{3}[ .-]\d{4}(?![\d-])",
     "name": rf"(?<![\p{{L}}\p{{N}}-])(?:{MALE}|{FEMALE})\.? \p{{Lu}}\p{{Ll}}+(?: \p{{Lu}}\p{{Ll}}+)?",
 }
 #: A text without any of these holds no entity.
@@ -132,7 +143,7 @@ def proposal(of: Column, form: Column, attempt: Column, key: str) -> Column:
     spread = _letters(F.concat(local, F.lit("@"), inner), hash_)
     email = F.concat(F.substring_index(spread, "@", 1), extra, F.lit("@"), F.substring_index(spread, "@", -1), F.lit("."), top)
     octets = F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: (1 + _drawn(hash_, i, 254)).cast("string"))
-    country = F.when(form.startswith("+"), F.substring(form, F.lit(1), F.when(F.length(form) > 11, F.length(form) - 10).otherwise(2))).otherwise("")
+    country = F.regexp_extract(form, rf"\A\+{COUNTRY}", 0)
     rest = F.substring(form, F.length(country) + 1, F.length(form))
     phone = F.concat(country, (2 + _drawn(hash_, F.lit(63), 8)).cast("string"), _letters(F.substring(rest, F.lit(2), F.length(rest)), hash_))
     body = F.concat(F.substring(form, 1, 1), _letters(F.substring(form, F.lit(2), F.length(form) - 2), hash_))

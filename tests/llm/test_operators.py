@@ -440,3 +440,18 @@ def test_surrogates_stay_distinct(spark):
     rows = surrogates.replaced(frame(spark, texts)).collect()
     assert len({r.text for r in rows}) == len(texts) and not {r.text for r in rows} & set(texts)
     assert surrogates.replaced(frame(spark, [])).count() == 0
+
+
+def found(spark, texts):
+    return [r.n for r in surrogates.replaced(frame(spark, texts), count="n").orderBy("doc_id").collect()], [r.text for r in surrogates.replaced(frame(spark, texts)).orderBy("doc_id").collect()]
+
+
+def test_numbers_beside_a_telephone_number(spark):
+    phones = ["+1 (843) 555-7672", "+44 20 7946 0958", "+49 30 901820", "+971 50 123 4567"]
+    others = ["170.106.47.218", "4111 1111 1111 1111", "123-45-6789", "415-555-2671", "+358 40 123 4567"]
+    pairs = [(p, o) for p in phones for o in others]
+    n, texts = found(spark, [*phones, *others, *(f"{p} {o}" for p, o in pairs)])
+    alone = dict(zip([*phones, *others], texts, strict=False))
+    assert n == [1] * 9 + [2] * len(pairs)
+    assert texts[9:] == [f"{alone[p]} {alone[o]}" for p, o in pairs]
+    assert [alone[p][: alone[p].index(" ")] for p in phones] == ["+1", "+44", "+49", "+971"]
