@@ -49,7 +49,8 @@ PATTERNS = {
     "iban": r"(?<![\p{L}\p{N}])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![\p{L}\p{N}])",
     "secret": r"(?<![\p{L}\p{N}])(?=[0-9a-fA-F]*[a-fA-F])(?=[0-9a-fA-F]*\d)[0-9a-fA-F]{32,128}(?![\p{L}\p{N}])",
     "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
-    "card": r"(?<![\d+(.-])\d(?:[ -]?\d){12,18}(?![\d-])",
+    # A run of numbers that may hold a card; `pieces` takes it apart.
+    "card": rf"(?<![\d+(.-])(?=\d(?:[ -]?\d){{12}})\d[\d -]{{11,}}\d(?![\d-]|(?:\.{OCTET}){{3}}(?!\d|\.\d))",
     # Ten digits after +1 and +7, elsewhere up to 15 with the country code.
     "phone": rf"(?<![\p{{L}}\d+])\+[17][ .-]?(?:\(\d{{3}}\)|\d{{3}})[ .-]?\d{{3}}[ .-]?\d{{2}}[ .-]?\d{{2}}(?!\d)|(?<![\p{{L}}\d+])\+\d{{1,3}}[ .-]?(?:\(\d{{1,4}}\)[ .-]?)?{NEXT}\d{{2,5}}(?:[ .-]?{NEXT}\d{{2,5}}){{1,4}}(?!\d)(?<!{SIXTEEN})"
     r"|(?<![\d(])\(\d{3}\)[ .-]?\d{3}[ .-]\d{4}(?!\d)|(?<![\d.-])\d{3}[ .-]\d{3}[ .-]\d{4}(?![\d-])",
@@ -58,6 +59,9 @@ PATTERNS = {
 #: A text without any of these holds no entity.
 TRIGGER = rf"[0-9@]|(?<![\p{{L}}\p{{N}}-])(?:{MALE}|{FEMALE})\.? \p{{Lu}}"
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
+#: What else a run of numbers can hold.
+REST = f"(?:{PATTERNS['ssn']})|(?:{PATTERNS['phone']})"
+MARK = "\x01"  # in no match
 
 #: Syllables of surrogate names, for each script: the starts and the vowels, equal in number.
 SCRIPTS = {
@@ -70,6 +74,51 @@ HEX = "0123456789abcdef"
 ATTEMPTS = 60
 
 
+def pieces(match: Column) -> Column:
+    """A match as structs (part, is_entity). A run of numbers is searched for cards: whole
+    numbers, 13 to 19 digits with a right check digit, all but the last of at least four
+    digits; the earliest and then the shortest is taken, but the whole run before its
+    parts. What is left is searched for the kinds of REST. A run without either is a card
+    in any grouping if its check digit is right, and otherwise stays."""
+
+    def bound(value: Column, then) -> Column:
+        """then(value), with value computed once."""
+        return F.element_at(F.transform(F.array(value), then), 1)
+
+    def valid(number: Column) -> Column:
+        return bound(number, lambda x: F.when(F.length(x).between(13, 19), _luhn(x) % 10 == 0).otherwise(False))
+
+    run = F.struct(F.regexp_extract_all(match, F.lit("[0-9]+"), F.lit(0)).alias("numbers"), F.split(match, "[0-9]+", -1).alias("between"))
+    split = bound(run, lambda x: _taken_apart(match, x["numbers"], x["between"], bound, valid))
+    return F.when(match.rlike(r"\A\d[\d -]{11,}\d\z"), split).otherwise(F.array(F.struct(match.alias("part"), F.lit(True).alias("is_entity"))))
+
+
+def _taken_apart(match: Column, numbers: Column, between: Column, bound, valid) -> Column:
+    def window(i: Column, j: Column) -> Column:
+        inner = F.forall(F.slice(between, i + 2, j - i), lambda x: F.length(x) == 1) & F.forall(F.slice(numbers, i + 1, j - i), lambda x: F.length(x) >= 4)
+        return F.when(inner, valid(F.array_join(F.slice(numbers, i + 1, j - i + 1), ""))).otherwise(False)
+
+    def taken(state: Column, i: Column, ends: Column) -> Column:
+        last = F.when(F.size(ends) > 0, F.get(ends, F.lit(0))).otherwise(i)
+        longer = F.zip_with(F.slice(between, i + 2, last - i), F.slice(numbers, i + 2, last - i), lambda a, b: F.concat(a, b))
+        mark = F.when(F.size(ends) > 0, MARK).otherwise("")
+        text = F.concat(F.element_at(between, i + 1), mark, F.element_at(numbers, i + 1), F.array_join(longer, ""), mark)
+        return F.struct((last + 1).alias("free"), F.concat(state["out"], F.array(text)).alias("out"))
+
+    def step(state: Column, i: Column) -> Column:
+        ends = F.filter(F.sequence(i, F.least(i + 4, F.size(numbers) - 1)), lambda j: window(i, j))
+        return F.when(i < state["free"], state).otherwise(bound(ends, lambda x: taken(state, i, x)))
+
+    start = F.struct(F.lit(0).alias("free"), F.array().cast("array<string>").alias("out"))
+    cards = F.array_join(F.aggregate(F.sequence(F.lit(0), F.size(numbers) - 1), start, step)["out"], "")
+    marked = F.transform(F.split(cards, MARK, -1), lambda x, k: F.when(k % 2 == 1, F.concat(F.lit(MARK), x, F.lit(MARK))).otherwise(F.regexp_replace(x, REST, f"{MARK}$0{MARK}")))
+    whole = F.concat(F.lit(MARK), match, F.lit(MARK))
+    evenly = F.forall(F.slice(between, 2, F.size(numbers) - 1), lambda x: F.length(x) == 1) & F.forall(F.slice(numbers, 1, F.size(numbers) - 1), lambda x: F.length(x) >= 4)
+    right = valid(F.array_join(numbers, ""))
+    chosen = F.when(evenly & right, whole).otherwise(bound(F.array_join(marked, ""), lambda x: F.when(x.contains(MARK), x).when(right, whole).otherwise(match)))
+    return F.transform(F.split(chosen, MARK, -1), lambda x, k: F.struct(x.alias("part"), (k % 2 == 1).alias("is_entity")))
+
+
 def kind(entity: Column) -> Column:
     """The kind of a match; null for a number that fails a card's check."""
     out = F.lit("name")
@@ -218,14 +267,17 @@ def replaced(docs: DataFrame, key: str = "burnish", count: str | None = None) ->
     found = F.when(text.rlike(TRIGGER), F.regexp_extract_all(text, F.lit(ANY), F.lit(0)))
     marked = inner.withColumn("found", F.coalesce(found, F.array().cast("array<string>")))
     held = _shared.written(marked.where(F.size("found") > 0).withColumn("row", F.monotonically_increasing_id()), "entities")
-    each = held.select("row", F.posexplode("found").alias("at", "entity")).withColumn("kind", kind(F.col("entity")))
+    each = held.select("row", F.posexplode("found").alias("at", "match")).select("row", "at", F.posexplode(pieces(F.col("match"))).alias("sub", "x"))
+    each = each.select("row", "at", "sub", F.col("x.part").alias("entity"), F.when(F.col("x.is_entity"), kind(F.col("x.part"))).alias("kind"))
     each = each.withColumn("form", canonical(F.col("kind"), F.col("entity")))
     map_ = surrogate_map(each.where("kind is not null").select("kind", "form"), key)
     new = F.when(F.col("kind").isNull(), F.col("entity")).otherwise(mention(F.col("kind"), F.col("entity"), F.col("surrogate")))
-    spoken = each.join(map_, ["kind", "form"], "left").select("row", F.struct("at", new.alias("new")).alias("x"), F.col("kind").isNotNull().cast("long").alias("is"))
+    spoken = each.join(map_, ["kind", "form"], "left").select("row", F.struct("at", "sub", new.alias("new")).alias("x"), F.col("kind").isNotNull().cast("long").alias("is"))
     news = spoken.groupBy("row").agg(F.sort_array(F.collect_list("x")).alias("x"), F.sum("is").alias("n"))
     parts = F.split(text, ANY, -1)
-    news_then_end = F.concat(F.col("x.new"), F.array(F.lit("")))
+    # The pieces of a match form one string again.
+    joined = F.array_join(F.transform("x", lambda y: F.concat(F.when(y["sub"] == 0, MARK).otherwise(""), y["new"])), "")
+    news_then_end = F.concat(F.slice(F.split(joined, MARK, -1), F.lit(2), F.size("found")), F.array(F.lit("")))
     whole = F.array_join(F.zip_with(parts, news_then_end, lambda a, b: F.concat(a, b)), "")
     changed = held.join(news, "row").withColumn(f"c{place}", whole)
     out = [F.col(f"c{k}").alias(c) for k, c in enumerate(columns)]

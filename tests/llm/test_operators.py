@@ -455,3 +455,26 @@ def test_numbers_beside_a_telephone_number(spark):
     assert n == [1] * 9 + [2] * len(pairs)
     assert texts[9:] == [f"{alone[p]} {alone[o]}" for p, o in pairs]
     assert [alone[p][: alone[p].index(" ")] for p in phones] == ["+1", "+44", "+49", "+971"]
+
+
+def test_numbers_beside_a_card(spark):
+    cases = {
+        "4845168114407329 161.17.88.162": 1 + (plain_luhn("4845168114407329")),
+        "4111 1111 1111 1111 12/26": 1,
+        "4111 1111 1111 1111 123": 1,
+        "2024 555-123-4567": 1,
+        "12345 415-555-2671": 1,
+        "4111 1111 1111 1111 5500-0000-0000-0004 123-45-6789": 3,
+        "12 4111111111111111 415-555-2671": 2,
+        " ".join(str(k % 90) for k in range(3000)): 0,
+        "9807915762804490": 0,
+    }
+    n, texts = found(spark, list(cases))
+    assert n == list(cases.values())
+    for text in texts:
+        assert not any(x in text for x in ("161.17", "4111 1111", "41111111", "0000-0004", "123-45-6789", "555-123-4567", "415-555-2671"))
+    assert texts[1].endswith(" 12/26") and texts[2].endswith(" 123") and texts[3].startswith("2024 ") and texts[4].startswith("12345 ") and texts[7:] == list(cases)[7:]
+
+
+def plain_luhn(number):
+    return sum(int(x) if k % 2 == 0 else sum(divmod(2 * int(x), 10)) for k, x in enumerate(reversed(number))) % 10 == 0
