@@ -12,10 +12,16 @@ A file is a sequence of zstandard frames that any zstandard reader accepts:
 A reader takes the tail of the file, finds a document's frame by the running sum
 of compressed sizes, and decompresses that frame alone.
 
+Texts are encoded before they are dealt out, so that only ids, in the bytes that the
+files hold, are shuffled. Rows go to files by doc_id, hash of the text and a number of
+the row, so that neither a repeated doc_id nor a repeated row has to fit in one file.
+
 Defined results: a null text counts as empty and is stored as the end id alone; a
-null doc_id sorts first; repeated doc_ids are stored once for each row, in an
-order that depends on nothing else; an empty table makes no files; further columns
-are ignored.
+null doc_id sorts first; repeated doc_ids are stored once for each row, ordered by a
+hash of the text, so the order depends on nothing but the rows (equal rows are stored
+alike); a text of any length is one frame, encoded in slices; an id that needs more
+bytes than `width` is an error; an empty table makes no files; further columns,
+whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -32,9 +38,9 @@ import xxhash
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import _shared
-from .units import UnitEncoder
+from . import _shared, units
 
 SKIPPABLE_HEADER, SKIPPABLE_INDEX, SKIPPABLE_SEEK = 0x184D2A50, 0x184D2A51, 0x184D2A5E
 SEEK_MAGIC = 0x8F92EAB1
@@ -58,13 +64,14 @@ class TokenFileWriter:
         self.out.write(head)
         self.sizes.append((len(head), 0, 0))
 
-    def add(self, doc_id: int | None, ids: np.ndarray) -> None:
-        content = ids.astype(f"<u{self.width}").tobytes()
+    def add(self, doc_id: int | None, content: bytes) -> None:
+        """content: ids, little-endian, of `width` bytes each."""
         frame = self.compressor.compress(content)
         self.out.write(frame)
-        self.sizes.append((len(frame), len(content), xxhash.xxh64_intdigest(content) & 0xFFFFFFFF))
+        # A frame ends with the low 32 bits of its content's XXH64.
+        self.sizes.append((len(frame), len(content), int.from_bytes(frame[-4:], "little")))
         self.doc_ids.append(doc_id)
-        self.n_ids += len(ids)
+        self.n_ids += len(content) // self.width
 
     def close(self) -> None:
         known = np.array([d or 0 for d in self.doc_ids], "<i8").tobytes() + bytes(d is None for d in self.doc_ids)
@@ -119,13 +126,43 @@ MANIFEST = pa.schema([("file", pa.int64()), ("uri", pa.string()), ("docs", pa.in
 DOCUMENTS = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64()), ("file", pa.int64()), ("frame", pa.int64())])
 
 
+def narrow(ids: bytes | memoryview, end_id: int, width: int) -> bytes:
+    """ids of 32 bits and the end id in `width` bytes each."""
+    out = np.append(np.frombuffer(ids, "<u4"), np.uint32(end_id))
+    if width < 4 and int(out.max()) >> 8 * width:
+        raise ValueError(f"an id doesn't fit in {width} bytes")
+    return out.astype(f"<u{width}").tobytes()
+
+
+def encoded(docs: DataFrame, tokenizer: str, end_id: int, width: int) -> DataFrame:
+    """doc_id, hash (of the text), row (a number) and ids of each row, as the files hold them."""
+    schema = pa.schema([("doc_id", pa.int64()), ("hash", pa.int64()), ("row", pa.int64()), ("ids", pa.binary())])
+
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = units.encoder(tokenizer, keeps_space=True)
+        for batch in batches:
+            # A batch may hold long texts, so ids are sent on in parts.
+            at, held, size = 0, [], 0
+            for ids in encoder.each(_shared.texts(batch)):
+                held.append(narrow(ids, end_id, width))
+                size += len(held[-1])
+                if size > _shared.SLICE_BYTES:
+                    yield _shared.arrow_out(schema, [*(batch.column(c).slice(at, len(held)) for c in schema.names[:3]), held])
+                    at, held, size = at + len(held), [], 0
+            if held:
+                yield _shared.arrow_out(schema, [*(batch.column(c).slice(at, len(held)) for c in schema.names[:3]), held])
+
+    text = F.coalesce(docs["text"].cast("string"), F.lit(""))
+    plain = docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.xxhash64(text).alias("hash"), F.monotonically_increasing_id().alias("row"), text.alias("text"))
+    return plain.mapInArrow(encode, "doc_id long, hash long, row long, ids binary")
+
+
 def write_tokens(docs: DataFrame, tokenizer: str, folder: str, end_id: int, files: int | None = None, width: int = 2) -> list[dict]:
     """Encode whole texts and write them in ascending doc_id order.
 
-    The texts are dealt out by ranges of doc_id, so that file k holds smaller ids
-    than file k + 1; every task writes one file under a name of its own and then
-    renames it, so a repeated task changes nothing. Returns the manifest, a row for
-    each file, in order.
+    File k holds smaller ids than file k + 1; every task writes one file under a name
+    of its own and then renames it, so a repeated task changes nothing. Returns the
+    manifest, a row for each file, in order.
     """
     spark = docs.sparkSession
     _shared.prepare(spark)
@@ -134,26 +171,28 @@ def write_tokens(docs: DataFrame, tokenizer: str, folder: str, end_id: int, file
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, attempt = TaskContext.get().partitionId(), TaskContext.get().taskAttemptId()
         store, path = pafs.FileSystem.from_uri(folder)
-        target, writer, encoder = f"{path}/part-{part:06d}.ids.zst", None, None
+        target, writer = f"{path}/part-{part:06d}.ids.zst", None
         for batch in batches:
             if not batch.num_rows:
                 continue
             if writer is None:
                 store.create_dir(path, recursive=True)
                 out = store.open_output_stream(f"{target}.{attempt}")
-                writer, encoder = TokenFileWriter(out, width, end_id), UnitEncoder(tokenizer, keeps_space=True)
-            end = np.array([end_id], "<u4").tobytes()
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), _shared.texts(batch), strict=True):
-                writer.add(doc_id, np.frombuffer(encoder.ids(text.as_py()) + end, "<u4"))
+                writer = TokenFileWriter(out, width, end_id)
+            for doc_id, ids in zip(batch.column("doc_id").to_pylist(), batch.column("ids"), strict=True):
+                writer.add(doc_id, ids.as_py())
         if writer is not None:
             writer.close()
             out.close()
             store.move(f"{target}.{attempt}", target)
             yield _shared.arrow_out(MANIFEST, [[part], [f"{folder}/part-{part:06d}.ids.zst"], [len(writer.doc_ids)], [writer.n_ids]])
 
-    plain = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"))
-    dealt = plain.repartitionByRange(files, "doc_id").sortWithinPartitions("doc_id")
+    # Written first: the ranges are found by reading twice.
+    held = _shared.written(encoded(docs, tokenizer, end_id, width), "encoded")
+    order = ("doc_id", "hash", "row")
+    dealt = held.repartitionByRange(files, *order).sortWithinPartitions(*order).select("doc_id", "ids")
     rows = dealt.mapInArrow(write, "file long, uri string, docs long, n_ids long").collect()  # a row for each file
+    _shared.discard(held)
     return sorted((r.asDict() for r in rows), key=lambda r: r["file"])
 
 

@@ -10,10 +10,11 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 
-from burnish.llm import decontam, dsir, kneser_ney, packing, queries, repetition, simhash, substring, surrogates, token_count, token_store
+from burnish.llm import decontam, dsir, kneser_ney, packing, queries, repetition, simhash, substring, surrogates, token_count, token_store, units
 from burnish.llm.units import UnitEncoder
 
 SCHEMA = "doc_id long, text string, row string, count int, n_words string"
@@ -259,6 +260,20 @@ def test_units(texts):
         e = UnitEncoder(queries.tokenizer(name), keeps)
         for t in [*odd, *(t or "" for t in texts)]:
             assert e.ids(t) == e.whole(t), t
+        rng, parts = random.Random(3), ["'", "s", "re", "ll", "'t", "x'", " ", "  ", "\n", "\n\n", "\t", "É", "ß", "×", "12", ".", "--", "“", "’", "中", "İ", "\x1c", "<|endoftext|>", "longerthansixteenbytes", "word"]
+        mixed = ["".join(rng.choices(parts, k=rng.randrange(25))) for _ in range(3000)]
+        column = [*odd, *(t or "" for t in texts), *mixed]
+        for t, got in zip(column, e.each(pa.array(column, pa.large_string())), strict=True):
+            assert bytes(got) == e.whole(t), t
+
+
+def test_long_texts_are_cut_between_words(monkeypatch):
+    monkeypatch.setattr(units, "SLICE_BYTES", 300)
+    rng = random.Random(5)
+    text = "".join(rng.choices(["word", " ", " ", "\n", "it's", "  ", "É", "12", "."], k=4000))
+    for name, keeps in (("byte_bpe_50k.json", True), ("word_bpe_49k.json", False)):
+        e = UnitEncoder(queries.tokenizer(name), keeps)
+        assert [bytes(x) for x in e.each(pa.array(["a", text, "b"], pa.large_string()))] == [e.whole(t) for t in ("a", text, "b")]
 
 
 def test_token_files(spark, texts, tmp_path):
@@ -276,11 +291,22 @@ def test_token_files(spark, texts, tmp_path):
     assert near((r.start, r.doc_id or 0, r.n_tokens) for r in twice.collect()) == [(0, 0, 1), (1, 1, 2), (3, 1, 2)]
 
 
+def test_token_files_do_not_depend_on_the_order_of_rows(spark, tmp_path):
+    rows = [(k // 6, t) for k, t in enumerate([*prose(31, 9), *prose(31, 2), None])]
+    found = []
+    for k, held in enumerate((rows, rows[::-1])):
+        got = token_store.token_documents(frame(spark, [t for _, t in held], [i for i, _ in held]), queries.tokenizer("byte_bpe_50k.json"), folder=f"file://{tmp_path}/{k}", files=1)
+        found.append(near(tuple(r)[:4] for r in got.collect()))
+    assert found[0] == found[1] and len(found[0]) == 12
+    with pytest.raises(ValueError):
+        token_store.narrow(np.array([70_000], "<u4").tobytes(), 2, 2)
+
+
 def test_token_file_reads_one_frame_and_checks_it():
     out = io.BytesIO()
     writer = token_store.TokenFileWriter(out, 2, 2)
     for k in range(5):
-        writer.add(k, np.arange(k * 10))
+        writer.add(k, np.arange(k * 10, dtype="<u2").tobytes())
     writer.close()
     data = bytearray(out.getvalue())
     reader = token_store.TokenFileReader(io.BytesIO(bytes(data)))
