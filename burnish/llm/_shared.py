@@ -4,6 +4,7 @@ executors both see, written intermediate tables, and Arrow text access."""
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 import zipfile
@@ -24,11 +25,13 @@ SLICE_BYTES = 1 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder of the cluster, from spark.checkpoint.dir."""
+    """The shared folder of the cluster, from spark.checkpoint.dir. Only a session on one
+    machine may do without it."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        folder = f"file://{LOCAL_SHARED}"
-        spark.conf.set("spark.checkpoint.dir", folder)
+        if not re.match(r"local(\[|$)", spark.conf.get("spark.master", "")):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        return f"file://{LOCAL_SHARED}"
     return folder.rstrip("/") if "://" in folder else f"file://{os.path.abspath(folder)}"
 
 
@@ -72,9 +75,25 @@ def prepare(spark: SparkSession) -> None:
     context._burnish_shipped = True
 
 
-def whole_texts(docs: DataFrame, *ids: str) -> DataFrame:
-    """The id columns and the text; other columns, whatever their names, go."""
-    return docs.select(*[docs[c] for c in ids], docs["text"].cast("string").alias("text"))
+def place(columns: list[str], name: str) -> int:
+    """Which column is meant: the one of that very name, else the first that differs in case only."""
+    return columns.index(name) if name in columns else [c.lower() for c in columns].index(name)
+
+
+def numbered(docs: DataFrame) -> DataFrame:
+    """docs with columns c0, c1, ..., among which no further name can clash."""
+    return docs.toDF(*[f"c{k}" for k in range(len(docs.columns))])
+
+
+def only(docs: DataFrame, *names: str) -> DataFrame:
+    """The named columns alone, whatever further columns there are."""
+    return numbered(docs).select(*[F.col(f"c{place(docs.columns, n)}").alias(n) for n in names])
+
+
+def documents(docs: DataFrame) -> DataFrame:
+    """doc_id as long and text as string."""
+    held = only(docs, "doc_id", "text")
+    return held.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
 
 def texts(batch: pa.RecordBatch, column: str = "text") -> pa.LargeStringArray:

@@ -5,27 +5,28 @@ A window is taken as the set of its placed shingles of three words (all of them
 shorter windows). Containment of all of them is asked for, so the necessary prefix
 is one shingle, the rarest:
 
-1. One pass over the documents keeps the places of all shingles that any window
-   has: each place looks its shingle up in the table of the benchmark's shingles and
-   the words are compared. The table is broadcast in blocks of at most BLOCK rows,
-   one pass for each block; beyond one block the documents are written first.
-2. Shingles are counted over all documents. A window with a shingle that no document
-   has can't occur; of the others each is known by its rarest shingle.
-3. The rarest shingles are joined with their places. Positional and length bounds
-   (the window must begin at or after the first word and end at or before the last)
-   leave candidates.
-4. A candidate holds if all its shingles are found at their places, which is exact
-   containment over a run of words of the window's length.
+1. The benchmark's words are counted over all documents. A shingle is as rare as its
+   rarest word; of equals the one with fewer counts in all, then the first. A window with
+   a word that no document has can't occur; of the others each is known by its rarest
+   shingle, the prefix.
+2. One pass over the documents, whatever the benchmark's size, keeps the places of these
+   shingles with the words around them. Only keys of shingles are broadcast, up to KEYS
+   of them; a larger benchmark's keys are joined by a shuffle.
+3. Places meet the windows of their shingle. Length and positional bounds (the window must
+   begin at or after the first word and end at or before the last) leave candidates.
+4. A candidate holds if the words around its place are the window's: exact containment
+   over a run of words of the window's length.
 
 Only DataFrame functions are used. Defined results: null or empty texts and items have
 no words; an item without an id takes part but isn't listed; items that repeat an id
-count once; repeated documents have a row each; an empty benchmark hits nothing;
-other columns are ignored.
+count once; repeated documents have a row each; an empty benchmark hits nothing; a text
+of any length is searched whole, and what is kept of it is its places; windows that tie
+in rarity change the cost and not the result; other columns, whatever their names, are
+ignored.
 """
 
 from __future__ import annotations
 
-from functools import reduce
 from string import ascii_lowercase, ascii_uppercase
 
 from pyspark.sql import Column, DataFrame
@@ -35,8 +36,10 @@ from . import _shared
 
 WINDOW = 13
 GRAM = 3
-#: Rows of the benchmark's shingle table that are broadcast at once (about 30 MB).
-BLOCK = 150_000
+#: At most so many keys are broadcast (about 50 MB).
+KEYS = 2_000_000
+#: The key of the row that each document has besides its places.
+DOCUMENT = 0
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
@@ -53,79 +56,76 @@ def windows(items: DataFrame, length: int = WINDOW) -> DataFrame:
     return cut.select("item_id", F.array_join("w", " ").alias("window"), F.size("w").alias("len")).distinct()
 
 
-def shingles(windows_: DataFrame) -> DataFrame:
-    """window, len, g, off, shingle: the placed shingles of each distinct window."""
-    each = windows_.select("window", "len").distinct().withColumn("w", F.split("window", " ")).withColumn("g", F.least(F.col("len"), F.lit(GRAM)))
-    placed = each.withColumn("off", F.explode(F.sequence(F.lit(0), F.col("len") - F.col("g"))))
-    return placed.select("window", "len", "g", "off", F.array_join(F.slice("w", F.col("off") + 1, F.col("g")), " ").alias("shingle"))
+def bounded(df: DataFrame) -> DataFrame:
+    """df, broadcast if it has few enough rows."""
+    return F.broadcast(df) if df.count() <= KEYS else df
 
 
 def _key(g: int, at) -> Column:
     return F.xxhash64(F.lit(g), *[at(k) for k in range(g)])
 
 
-def places(docs: DataFrame, table: DataFrame) -> DataFrame:
-    """row, doc_id, n_words, pos, shingle, written: where documents hold shingles of
-    the table, and for each document a row with pos -1."""
-    distinct = table.select("g", "shingle").distinct()
-    parts = F.split("shingle", " ")
-    key = F.coalesce(*[F.when(F.col("g") == g, _key(g, lambda k: F.get(parts, k))) for g in range(1, GRAM + 1)])
-    rows = distinct.select("g", "shingle", key.alias("key"), *[F.get(parts, k).alias(f"s{k}") for k in range(GRAM)])
-    rows = _shared.written(rows, "shingles")
-    sizes = [int(r["g"]) for r in rows.select("g").distinct().collect()]  # 1, 2, 3 at most
-    blocks = max(1, -(-rows.count() // BLOCK))
-    plain = docs.select(docs["doc_id"].alias("doc_id"), docs["text"].alias("text")).withColumn("row", F.monotonically_increasing_id())
-    if blocks > 1:
-        plain = _shared.written(plain, "documents")
-    split = plain.select("row", "doc_id", words(F.col("text")).alias("w")).withColumn("n_words", F.size("w"))
-    spread = split.withColumn("pos", F.explode(F.sequence(F.lit(-1), F.col("n_words") - 1)))
-
-    def at(k: int) -> Column:
-        return F.get("w", F.col("pos") + k)
-
-    keys = [F.when(F.col("pos") + g <= F.col("n_words"), _key(g, at)) for g in sorted(sizes)]
-    if len(keys) > 1:
-        keyed = spread.select("*", F.posexplode(F.array(*keys)).alias("kind", "key")).where("pos >= 0 or kind = 0")
+def prefixes(plain: DataFrame, held: DataFrame) -> DataFrame:
+    """window, len, g, off, key: each distinct window that can occur, and its rarest
+    shingle of g words, which begins off words after the window's first."""
+    each = held.select("window", "len").distinct().select("window", "len", F.posexplode(F.split("window", " ")).alias("i", "word"))
+    each = each.withColumn("word", F.xxhash64("word"))  # words of one hash change the cost and not the result
+    vocabulary = _shared.written(each.select("word").distinct(), "vocabulary")
+    every = plain.select(F.explode("w").alias("word")).select(F.xxhash64("word").alias("word"))
+    seen = _shared.written(every.join(bounded(vocabulary), "word", "left_semi").groupBy("word").agg(F.count("*").alias("seen")), "seen")
+    counted = each.join(bounded(seen), "word").groupBy("window", "len").agg(F.sort_array(F.collect_list(F.struct("i", "seen"))).alias("x"))  # a window's words
+    counted = counted.where("size(x) = len").withColumn("g", F.least("len", F.lit(GRAM))).withColumn("n", F.expr("transform(x, y -> y.seen)"))
+    rarest = F.expr("array_min(transform(sequence(0, len - g), o -> struct(array_min(slice(n, o + 1, g)) AS least, aggregate(slice(n, o + 1, g), 0L, (a, b) -> a + b) AS total, o AS off)))")
+    chosen = counted.select("window", "len", "g", F.split("window", " ").alias("w"), rarest["off"].alias("off"))
+    key = F.coalesce(*[F.when(F.col("g") == g, _key(g, lambda k: F.get("w", F.col("off") + k))) for g in range(1, GRAM + 1)])
+    out = _shared.written(chosen.select("window", "len", "g", "off", key.alias("key")), "prefixes")
+    _shared.discard(vocabulary)
+    _shared.discard(seen)
+    return out
+
+
+def places(plain: DataFrame, rare: DataFrame, length: int) -> DataFrame:
+    """row, doc_id, n_words, pos, key, low, context: where documents hold a key, with the
+    words from place low on; and for each document a row with pos -1."""
+    sizes = sorted(int(r["g"]) for r in rare.select("g").distinct().collect())  # 1, 2, 3 at most
+    every = rare.sparkSession.range(DOCUMENT, DOCUMENT + 1).select(F.col("id").alias("key"))
+    keys = rare.select("key").union(every).distinct()
+    spread = plain.withColumn("n_words", F.size("w")).withColumn("pos", F.explode(F.sequence(F.lit(-1), F.col("n_words") - 1)))
+    found = [F.when(F.col("pos") + g <= F.col("n_words"), _key(g, lambda k: F.get("w", F.col("pos") + k))) for g in sizes]
+    if len(found) > 1:
+        keyed = spread.select("*", F.posexplode(F.array(*found)).alias("kind", "at")).where("pos >= 0 or kind = 0")
     else:
-        keyed = spread.withColumn("key", keys[0] if keys else F.lit(None).cast("long"))
-    keyed = keyed.withColumn("key", F.when(F.col("pos") < 0, F.lit(0).cast("long")).otherwise(F.col("key"))).where("key is not null")
-    every = rows.sparkSession.createDataFrame([(0, None, 0, None, None, None)], rows.schema)
-    found = []
-    for b in range(blocks):
-        block = rows.where(F.pmod("key", F.lit(blocks)) == b)
-        block = (block.union(every) if b == 0 else block).withColumnRenamed("key", "k")
-        same = reduce(lambda x, y: x & y, [(F.col("g") <= k) | (at(k) == F.col(f"s{k}")) for k in range(GRAM)])
-        joined = keyed.join(F.broadcast(block), (F.col("key") == F.col("k")) & F.when(F.col("g") == 0, F.col("pos") < 0).otherwise((F.col("pos") >= 0) & same))
-        found.append(joined.select("row", "doc_id", "n_words", "pos", "shingle"))
-    return _shared.written(reduce(DataFrame.union, found), "places")
-
-
-def occurrences(held: DataFrame, table: DataFrame) -> DataFrame:
-    """row, start, len, window: where windows occur, from the places of shingles."""
-    inside = held.where("pos >= 0")
-    rarity = inside.groupBy("shingle").agg(F.count("*").alias("seen"))
-    ranked = table.join(rarity, "shingle").groupBy("window", "len", "g").agg(F.count("*").alias("n"), F.min(F.struct("seen", "shingle", "off")).alias("p"))
-    prefix = ranked.where("n = len - g + 1").select("window", "len", "g", F.col("p.shingle").alias("shingle"), F.col("p.off").alias("off"))
-    candidates = inside.join(prefix, "shingle").withColumn("start", F.col("pos") - F.col("off")).where("start >= 0 and start + len <= n_words")
-    candidates = candidates.select("row", "start", "len", "window", "g")
-    wanted = candidates.where("len > g").withColumn("w", F.split("window", " ")).withColumn("off", F.explode(F.sequence(F.lit(0), F.col("len") - F.col("g"))))
-    wanted = wanted.select("row", "start", "len", "g", "window", (F.col("start") + F.col("off")).alias("pos"), F.array_join(F.slice("w", F.col("off") + 1, F.col("g")), " ").alias("shingle"))
-    whole = wanted.join(inside.select("row", "pos", "shingle"), ["row", "pos", "shingle"]).groupBy("row", "start", "len", "g", "window").count()
-    return candidates.where("len = g").select("row", "start", "len", "window").union(whole.where("count = len - g + 1").select("row", "start", "len", "window"))
+        keyed = spread.withColumn("at", found[0] if found else F.lit(None).cast("long"))
+    keyed = keyed.withColumn("key", F.when(F.col("pos") < 0, F.lit(DOCUMENT).cast("long")).otherwise(F.col("at"))).where("key is not null")
+    low = F.greatest(F.col("pos") - (length - 1), F.lit(0))
+    held = keyed.join(bounded(keys), "key", "left_semi")
+    context = F.when(F.col("pos") >= 0, F.slice("w", low + 1, 2 * length + GRAM))
+    return _shared.written(held.select("row", "doc_id", "n_words", "pos", "key", low.alias("low"), context.alias("context")), "places")
+
+
+def occurrences(held: DataFrame, rare: DataFrame) -> DataFrame:
+    """row, start, len, window: where windows occur."""
+    met = held.where("pos >= 0").join(rare, "key").withColumn("start", F.col("pos") - F.col("off")).where("start >= 0 and start + len <= n_words")
+    same = F.array_join(F.slice("context", F.col("start") - F.col("low") + 1, F.col("len")), " ") == F.col("window")
+    return met.where(same).select("row", "start", "len", "window").distinct()
 
 
 def contamination(docs: DataFrame, items: DataFrame, length: int = WINDOW, least_share: int = 20) -> DataFrame:
-    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated for each document."""
+    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated, and the words of the
+    longest window that occurs (0: none), for each document."""
     _shared.prepare(docs.sparkSession)
-    held_windows = _shared.written(windows(items, length), "windows")
-    table = shingles(held_windows)
-    held = places(docs, table)
-    found = _shared.written(occurrences(held, table), "occurrences")
+    held_windows = _shared.written(windows(_shared.only(items, "item_id", "text"), length), "windows")
+    given = _shared.only(docs, "doc_id", "text")
+    plain = given.select("doc_id", words(F.col("text")).alias("w"), F.monotonically_increasing_id().alias("row"))
+    rare = prefixes(plain, held_windows)
+    held = places(plain, rare, length)
+    found = _shared.written(occurrences(held, rare), "occurrences")
+    longest = found.groupBy("row").agg(F.max("len").alias("longest"))
     hit = found.select("row", F.explode(F.sequence(F.col("start"), F.col("start") + F.col("len") - 1)).alias("pos")).distinct().groupBy("row").agg(F.count("*").alias("n_hit"))
     listed = found.select("row", "window").distinct().join(held_windows.where("item_id is not null").select("window", "item_id"), "window").select("row", "item_id").distinct()
     listed = listed.groupBy("row").agg(F.count("*").alias("n_items"), F.array_join(F.sort_array(F.collect_list("item_id")), ",").alias("items"))
     every = held.where("pos < 0").select("row", "doc_id", F.col("n_words").cast("long").alias("n_words"))
-    joined = every.join(hit, "row", "left").join(listed, "row", "left")
+    joined = every.join(hit, "row", "left").join(listed, "row", "left").join(longest, "row", "left")
     n_hit = F.coalesce("n_hit", F.lit(0))
     return joined.select(
         "doc_id",
@@ -134,9 +134,23 @@ def contamination(docs: DataFrame, items: DataFrame, length: int = WINDOW, least
         F.coalesce("n_items", F.lit(0)).alias("n_items"),
         F.sha2(F.coalesce("items", F.lit("")), 256).alias("items_sha256"),
         ((n_hit > 0) & (least_share * n_hit >= F.col("n_words"))).alias("contaminated"),
+        F.coalesce("longest", F.lit(0)).alias("longest_window"),
     )
 
 
+def uncontaminated(docs: DataFrame, items: DataFrame, length: int = WINDOW, least_share: int = 20) -> DataFrame:
+    """docs without those that hold a whole window of `length` words, however long they
+    are, or whose words are hit to one part in least_share. What is decided is decided
+    for a doc_id with a text, so rows without or with a repeated doc_id are judged by
+    their own texts."""
+    inner, names = _shared.numbered(docs), docs.columns
+    id_, text = F.col(f"c{_shared.place(names, 'doc_id')}"), F.col(f"c{_shared.place(names, 'text')}").cast("string")
+    told = inner.select(F.struct(id_.alias("id"), F.xxhash64(text).alias("hash")).alias("doc_id"), text.alias("text"))
+    found = contamination(told, items, length, least_share).where(F.col("contaminated") | (F.col("longest_window") >= length))
+    gone = found.select(F.col("doc_id.id").alias("gone_id"), F.col("doc_id.hash").alias("gone_hash")).distinct()
+    return inner.join(gone, id_.eqNullSafe(F.col("gone_id")) & (F.xxhash64(text) == F.col("gone_hash")), "left_anti").toDF(*names)
+
+
 ORACLE_SQL = r"""
 WITH d AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
