@@ -3,6 +3,7 @@ production parameters, over whole tables."""
 
 from __future__ import annotations
 
+import secrets
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,6 +19,11 @@ def tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def surrogate_key(spark: SparkSession) -> str:
+    """The session's secret for surrogates; where it sets none, one that is used once."""
+    return spark.conf.get("spark.burnish.surrogates.key", None) or secrets.token_hex(32)
+
+
 def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .simhash import near_duplicates
 
@@ -75,7 +81,7 @@ def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .surrogates import replaced
 
-    return replaced(table(spark, sf_dir, "documents").select("doc_id", "text"), count="n_entities")
+    return replaced(table(spark, sf_dir, "documents").select("doc_id", "text"), surrogate_key(spark), count="n_entities")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
