@@ -333,6 +333,6 @@ for name, cleaner, given, meant in (
     ("gstin", GstinCleaner(), ("27AAPFU0939F1ZV", "27AAPFU0939F1ZW"), ("27AAPFU0939F1ZV", None)),
     ("business", BusinessCleaner(), ("PRIVATELIMITED", "Pvt Ltd", "Sole Prop", "shop"), ("Private Limited", "Private Limited", "Sole Proprietorship", None)),
     ("scale", ScaleCleaner(), ("500", "SMALL", "5", "many"), ("large", "small", "micro", None)),
-    ("address_line", AddressLineCleaner(), (" 12,, Barakhamba Rd ,", "Sector 45, Plot 12"), ("12, Barakhamba Road", "Sector 45, Plot 12")),
+    ("address_line", AddressLineCleaner(), (" 7,, Mill Rd ,", "Block C, Unit 4"), ("7, Mill Road", "Block C, Unit 4")),
 ):
     column(name, "nation", "n_nationkey", cleaner, picked(*given), chosen(*meant))

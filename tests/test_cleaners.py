@@ -4,46 +4,46 @@ import pytest
 
 from burnish import BoolCleaner, ColRenamer, CountryCleaner, DateTimeCleaner, EmailCleaner, GenderCleaner, NumericCleaner, PhoneCleaner, TextCleaner, UuidCleaner
 
-U = "123e4567-e89b-42d3-a456-426614174000"
+U = "0b9c6f3e-71ad-4c55-9d20-5e8f0a2b7c41"
 VECTORS = [
-    (TextCleaner(), [("<p>Hello</p> World", "hello world"), ("Check https://google.com for info", "check for info"), ("Visit www.site.org now", "visit now"), ("Email admin@company.com today", "email today"), ("Line 1\nLine 2", "line 1 line 2"), ("LOUD", "loud"), ("Too    much \t space", "too much space"), ("<p></p>", None), ("  \n \t ", None)]),
-    (TextCleaner(remove_html=False), [("<p>Hello</p> World", "<p>hello</p> world")]),
-    (TextCleaner(remove_digits=True), [("Order 12345 is ready", "order is ready"), ("12345", None)]),
-    (TextCleaner(remove_punctuation=True), [("Hello, world! How are you?", "hello world how are you"), ("!!! ???", None)]),
-    (TextCleaner(replace_newlines_with_spaces=False), [("Line 1\nLine 2", "line 1line 2")]),
-    (TextCleaner(lowercase=False), [("LOUD NOISES", "LOUD NOISES")]),
-    (TextCleaner(remove_punctuation=True, remove_digits=True), [("<p>Contact admin@test.com or visit https://site.com. Invoice #9988 is attached!</p>\nThank you.", "contact or visit invoice is attached thank you")]),
-    (EmailCleaner(), [(" User.Name+Tag@Gmail.com ", "user.name+tag@gmail.com"), ("ANOTHER.EMAIL@yahoo.co.in", "another.email@yahoo.co.in"), (" admin+support@site.com", "admin+support@site.com"), ("info@Corporate-Domain.net", "info@corporate-domain.net"), ("a+@X.com", "a@x.com"), ("x@domain", None), ("none", None)]),
-    (EmailCleaner(lowercase=False), [("a+@x.com", "a+@x.com")]),
-    (EmailCleaner(keep_tags=False), [("a.b+t@x.com", "a.b@x.com")]),
-    (EmailCleaner(keep_dots=False), [("a.b+t.u@x.com", "ab+t.u@x.com")]),
-    (EmailCleaner(split_components=True), [("A+T@x.com", ("a", "t", "x.com")), ("a@x.com", ("a", None, "x.com")), ("?", (None, None, None))]),
-    (PhoneCleaner(), [("+91 98765 43210", "+919876543210"), ("+1-415-555-2671", "+14155552671"), ("+44 20 7123 1234", "+442071231234"), ("9876543210", None), ("011-23456789", None)]),
-    (PhoneCleaner(default_regions=("IN",)), [("9.876543210E+09", "+919876543210"), ("011-23456789", "+911123456789"), ("N/A", None), ("98765", None), ("This is completely random text", None), ("Call me at 9876543210", "+919876543210"), ("919876543212", "+919876543212"), ("1e400", None)]),
-    (PhoneCleaner(default_regions=("US", "IN")), [("(415) 555-2671", "+14155552671"), ("98765 43210 1", None)]),
-    (PhoneCleaner(default_regions=("IN",), out_format=PhoneCleaner.Format.INTERNATIONAL), [("9876543210", "+91 98765 43210")]),
-    (PhoneCleaner(default_regions=("IN",), out_format=PhoneCleaner.Format.NATIONAL), [("9876543210", "098765 43210")]),
-    (PhoneCleaner(default_regions=("IN",), out_format=PhoneCleaner.Format.RAW_DIGITS), [("9876543210", "919876543210")]),
-    (NumericCleaner(), [("1500.50", 1500.5), ("-42.8", -42.8), ("1,500.50", 1500.5), ("₹ 1,500.50", 1500.5), ("150..50", 150.5), ("15..00.50", 15.005), ("1.500.000", 1.5), ("not_a_number", None), ("Unknown", None), ("price 100", None), ("10 each", None), ("1e400", None), ("1e30", 1e30), ("٣", 3.0), ("", None)]),
-    (NumericCleaner(out_format=NumericCleaner.Format.INT), [("1500", 1500), ("$10,000", 10000), ("-42.8", -42)]),
-    (NumericCleaner(precision=2), [("14.555", 14.56), ("14.554", 14.55), ("1.005", 1.01)]),
-    (NumericCleaner(precision=0), [("100.999", 101.0)]),
-    (NumericCleaner(precision=4), [("100.123456", 100.1235)]),
-    (NumericCleaner(parse_suffixes=True), [("1.5M", 1.5e6), ("50k", 5e4), ("$ 2.5 B", 2.5e9), ("1.25 t", 1.25e12), ("500", 500.0), ("1,500k", 5e5)]),
-    (BoolCleaner(), [("True", True), ("yes", True), ("1", True), ("False", False), ("no", False), ("0", False), ("pending", None)]),
-    (BoolCleaner(out_format=BoolCleaner.Format.BINARY), [("true", "1"), ("active", "1"), ("false", "0"), ("inactive", "0")]),
-    (BoolCleaner(out_format=BoolCleaner.Format.YESNO), [("T", "Yes"), ("Y", "Yes"), ("F", "No"), ("N", "No")]),
-    (GenderCleaner(), [("male", "Male"), ("m", "Male"), ("boy", "Male"), ("GIRL", "Female"), ("woman", "Female"), ("non-binary", "Other"), ("alien", None), (" male ", None)]),
-    (GenderCleaner(out_format=GenderCleaner.Format.CHAR), [("man", "M"), ("f", "F"), ("o", "O")]),
-    (GenderCleaner(out_format=GenderCleaner.Format.BINARY), [("man", "1"), ("f", "0"), ("other", "-1")]),
-    (DateTimeCleaner(), [("2026-06-19 22:45:00", "2026-06-19T22:45:00"), ("2026-06-19", "2026-06-19T00:00:00"), ("22:45:00", "0001-01-01T22:45:00"), ("not-a-date", None), ("2026/13/45", None), ("2026-6-1", "2026-06-01T00:00:00"), ("2026-06- 5", "2026-06-05T00:00:00"), ("10:45PM", None), ("2026-02-30", None), ("0000-01-01", None), ("2026-06-19 22:45:60", None), ("2026-06-19\n", None)]),
-    (DateTimeCleaner(out_format=DateTimeCleaner.Format.ISO_DATE), [("2026-06-19T22:45:00", "2026-06-19"), ("19-06-2026", "2026-06-19"), ("22:45:00", None)]),
-    (DateTimeCleaner(out_format=DateTimeCleaner.Format.INDIAN_DATE), [("19/06/2026", "19-06-2026"), ("10:45 PM", None)]),
-    (DateTimeCleaner(out_format=DateTimeCleaner.Format.ISO_TIME), [("10:45 PM", "22:45:00"), ("12:05 am", "00:05:00")]),
-    (CountryCleaner(), [("IN", "India"), ("IND", "India"), ("india", "India"), ("NotACountry", None), ("XYZ", None), ("united st", "United States")]),
-    (CountryCleaner(in_format=CountryCleaner.Format.ALPHA2, out_format=CountryCleaner.Format.ALPHA3), [("IN", "IND"), ("in", "IND"), ("India", None)]),
-    (CountryCleaner(in_format=CountryCleaner.Format.NAME, out_format=CountryCleaner.Format.ALPHA3), [("United States", "USA")]),
-    (UuidCleaner(), [(U, U), ("{" + U.upper() + "}", U), ("urn:uuid:" + U, U), (U.replace("-", ""), U), (f'"{U}"', U), ("short-uuid-123", None), (U[:-1] + "Z", None)]),
+    (TextCleaner(), [("A <b>bold</b> claim", "a bold claim"), ("see https://docs.example.net/a?b=1 first", "see first"), ("open www.example.net/x or wait", "open or wait"), ("ask ops@example.net please", "ask please"), ("one\ntwo\r\nthree", "one two three"), ("MiXeD", "mixed"), ("tabs\tand   gaps", "tabs and gaps"), ("<br/><hr>", None), ("\t \n", None)]),
+    (TextCleaner(remove_html=False), [("keep <i>this</i>", "keep <i>this</i>")]),
+    (TextCleaner(remove_digits=True), [("room 27 on floor 3", "room on floor"), ("2027", None)]),
+    (TextCleaner(remove_punctuation=True), [("Well... (maybe), no?", "well maybe no"), ("--;--", None)]),
+    (TextCleaner(replace_newlines_with_spaces=False), [("left\nright", "leftright")]),
+    (TextCleaner(lowercase=False), [("Keep My Case", "Keep My Case")]),
+    (TextCleaner(remove_punctuation=True, remove_digits=True), [("<li>Ticket #42: ask desk@example.net, see www.example.net!</li>\nBye.", "ticket ask see bye")]),
+    (EmailCleaner(), [(" Mia.Lund+News@Example.org ", "mia.lund+news@example.org"), ("TEAM@mail.example.co.uk", "team@mail.example.co.uk"), ("write to o_k%1@a-b.io now", "o_k%1@a-b.io"), ("q+@Z.org", "q@z.org"), ("user@host", None), ("nobody", None)]),
+    (EmailCleaner(lowercase=False), [("q+@Z.org", "q+@Z.org")]),
+    (EmailCleaner(keep_tags=False), [("c.d+promo@z.org", "c.d@z.org")]),
+    (EmailCleaner(keep_dots=False), [("c.d+p.q@z.org", "cd+p.q@z.org")]),
+    (EmailCleaner(split_components=True), [("Kim+Box@Z.org", ("kim", "box", "z.org")), ("kim@z.org", ("kim", None, "z.org")), ("-", (None, None, None))]),
+    (PhoneCleaner(), [("+91 91234 56780", "+919123456780"), ("+1 (212) 664-7665", "+12126647665"), ("+44 20 7946 0958", "+442079460958"), ("9123456780", None), ("022-24567890", None)]),
+    (PhoneCleaner(default_regions=("IN",)), [("9.12345678E+09", "+919123456780"), ("022-24567890", "+912224567890"), ("unknown", None), ("12345", None), ("ring 9123456780 after six", "+919123456780"), ("919123456780", "+919123456780"), ("2e500", None)]),
+    (PhoneCleaner(default_regions=("US", "IN")), [("(212) 664-7665", "+12126647665"), ("91234 56780 9", None)]),
+    (PhoneCleaner(default_regions=("IN",), out_format=PhoneCleaner.Format.INTERNATIONAL), [("9123456780", "+91 91234 56780")]),
+    (PhoneCleaner(default_regions=("IN",), out_format=PhoneCleaner.Format.NATIONAL), [("9123456780", "091234 56780")]),
+    (PhoneCleaner(default_regions=("IN",), out_format=PhoneCleaner.Format.RAW_DIGITS), [("9123456780", "919123456780")]),
+    (NumericCleaner(), [("731.25", 731.25), ("-8.5", -8.5), ("12,345.5", 12345.5), ("€ 9,001.75", 9001.75), ("27..5", 27.5), ("8..1.2", 8.12), ("3.25.100", 3.251), ("seven", None), ("level 7", None), ("about 7", 7.0), ("4 pieces", None), ("2e500", None), ("1e25", 1e25), ("٧", 7.0), ("", None), ("inf", None)]),
+    (NumericCleaner(out_format=NumericCleaner.Format.INT), [("62", 62), ("£7,250", 7250), ("-8.9", -8)]),
+    (NumericCleaner(precision=2), [("3.145", 3.15), ("3.144", 3.14), ("2.675", 2.68)]),
+    (NumericCleaner(precision=0), [("41.7", 42.0)]),
+    (NumericCleaner(precision=4), [("2.718281", 2.7183)]),
+    (NumericCleaner(parse_suffixes=True), [("3.5M", 3.5e6), ("12k", 1.2e4), ("€ 1.5 B", 1.5e9), ("0.5 t", 5e11), ("77", 77.0), ("2,400k", 4e5)]),
+    (BoolCleaner(), [("TRUE", True), ("Yes", True), ("1", True), ("no", False), ("FALSE", False), ("0", False), ("perhaps", None)]),
+    (BoolCleaner(out_format=BoolCleaner.Format.BINARY), [("yes", "1"), ("Active", "1"), ("no", "0"), ("INACTIVE", "0")]),
+    (BoolCleaner(out_format=BoolCleaner.Format.YESNO), [("y", "Yes"), ("t", "Yes"), ("n", "No"), ("f", "No")]),
+    (GenderCleaner(), [("MALE", "Male"), ("F", "Female"), ("Man", "Male"), ("Woman", "Female"), ("other", "Other"), ("robot", None), (" f", None)]),
+    (GenderCleaner(out_format=GenderCleaner.Format.CHAR), [("boy", "M"), ("girl", "F"), ("non-binary", "O")]),
+    (GenderCleaner(out_format=GenderCleaner.Format.BINARY), [("m", "1"), ("woman", "0"), ("o", "-1")]),
+    (DateTimeCleaner(), [("2031-02-07 08:09:10", "2031-02-07T08:09:10"), ("2031-02-07", "2031-02-07T00:00:00"), ("08:09:10", "0001-01-01T08:09:10"), ("soon", None), ("2031/14/02", None), ("2031-2-7", "2031-02-07T00:00:00"), ("2031-02- 7", "2031-02-07T00:00:00"), ("9:15AM", None), ("2031-04-31", None), ("0000-05-05", None), ("2031-02-07 08:09:60", None), ("2031-02-07\n", None)]),
+    (DateTimeCleaner(out_format=DateTimeCleaner.Format.ISO_DATE), [("2031-02-07T08:09:10", "2031-02-07"), ("07-02-2031", "2031-02-07"), ("08:09:10", None)]),
+    (DateTimeCleaner(out_format=DateTimeCleaner.Format.INDIAN_DATE), [("07/02/2031", "07-02-2031"), ("9:15 AM", None)]),
+    (DateTimeCleaner(out_format=DateTimeCleaner.Format.ISO_TIME), [("9:15 PM", "21:15:00"), ("12:40 am", "00:40:00")]),
+    (CountryCleaner(), [("NO", "Norway"), ("BRA", "Brazil"), ("kenya", "Kenya"), ("Atlantis", None), ("QQQ", None), ("new zeal", "New Zealand")]),
+    (CountryCleaner(in_format=CountryCleaner.Format.ALPHA2, out_format=CountryCleaner.Format.ALPHA3), [("NO", "NOR"), ("br", "BRA"), ("Kenya", None)]),
+    (CountryCleaner(in_format=CountryCleaner.Format.NAME, out_format=CountryCleaner.Format.ALPHA3), [("New Zealand", "NZL")]),
+    (UuidCleaner(), [(U, U), ("{" + U.upper() + "}", U), ("urn:uuid:" + U, U), (U.replace("-", ""), U), (f'"{U}"', U), ("0b9c6f3e-71ad", None), (U[:-1] + "G", None)]),
     (UuidCleaner(out_format=UuidCleaner.Format.URN), [(U, "urn:uuid:" + U)]),
     (UuidCleaner(out_format=UuidCleaner.Format.COMPACT, allowed_versions={4}), [(U, U.replace("-", ""))]),
     (UuidCleaner(allowed_versions={7}), [(U, None)]),
@@ -83,14 +83,14 @@ def test_clean_value_and_options(spark):
 
 
 SCORES = [
-    (PhoneCleaner(), {"contact_no": 1, "mobile_number": 1, "user_tel": 1, "office_fax": 1, "email_address": 0}),
-    (DateTimeCleaner(), {"created_at": 1, "updated_time": 1, "transaction_date": 1, "timestamp": 1, "user_id": 0}),
-    (TextCleaner(), {"user_comment": 0.8, "product_description": 0.8, "order_notes": 0.8, "first_name": 0.1}),
-    (CountryCleaner(), {"country_name": 1, "COUNTRY": 1, "email_address": 0}),
-    (GenderCleaner(), {"gender": 1, "SEX": 1, "first_name": 0}),
-    (BoolCleaner(), {"is_approved": 1, "has_premium": 1, "user_status": 1, "active_flag": 1, "email_address": 0}),
-    (EmailCleaner(), {"Email": 1, "name": 0}),
-    (UuidCleaner(), {"user_guid": 1, "session_token": 1, "name": 0}),
+    (PhoneCleaner(), {"home_phone": 1, "mobile": 1, "tel_2": 1, "fax_line": 1, "city": 0}),
+    (DateTimeCleaner(), {"paid_at": 1, "birth_date": 1, "start_time": 1, "city": 0}),
+    (TextCleaner(), {"buyer_comment": 0.8, "long_description": 0.8, "staff_notes": 0.8, "city": 0.1}),
+    (CountryCleaner(), {"home_country": 1, "Country": 1, "city": 0}),
+    (GenderCleaner(), {"buyer_gender": 1, "sex": 1, "city": 0}),
+    (BoolCleaner(), {"is_open": 1, "has_car": 1, "spam_flag": 1, "city": 0}),
+    (EmailCleaner(), {"work_email": 1, "city": 0}),
+    (UuidCleaner(), {"row_uuid": 1, "order_guid": 1, "city": 0}),
 ]
 
 
