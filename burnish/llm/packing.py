@@ -29,8 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from . import _shared
-from .units import UnitEncoder
+from . import _shared, units
 
 SEQUENCE = 4096
 #: Pieces of one length are ranked in so many groups.
@@ -229,12 +228,11 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int = 1, size: int = SEQUENC
     _shared.prepare(docs.sparkSession)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, end = None, np.array([end_id], "<u4").tobytes()
+        encoder, end = units.encoder(tokenizer, keeps_space=False), np.array([end_id], "<u4").tobytes()
         for batch in batches:
-            encoder = encoder or UnitEncoder(tokenizer, keeps_space=False)
             rows = []
-            for row, doc_id, text in zip(batch.column("__row").to_pylist(), batch.column("doc_id").to_pylist(), _shared.texts(batch), strict=True):
-                ids = memoryview(encoder.ids(text.as_py()) + end)
+            for row, doc_id, whole in zip(batch.column("__row").to_pylist(), batch.column("doc_id").to_pylist(), encoder.each(_shared.texts(batch)), strict=True):
+                ids = memoryview(bytes(whole) + end)
                 for k, at in enumerate(range(0, len(ids), 4 * size)):
                     part = ids[at : at + 4 * size]
                     rows.append((row, doc_id, k, at // 4, len(part) // 4, zlib.crc32(part)))
