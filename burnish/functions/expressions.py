@@ -13,12 +13,14 @@ from pyspark.sql import functions as F
 WS_CHARS = r"\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 WS, NWS = f"[{WS_CHARS}]", f"[^{WS_CHARS}]"
 #: A run of white space that isn't a single space already.
-WS_RUN = rf"{WS}{{2,}}|[{WS_CHARS}&&[^ ]]"
+WS_RUN = rf"[{WS_CHARS.replace('x20', 'x1f')}]{WS}*| {WS}+"
 #: A word character: letters, numbers and the underscore of any script.
 WORD = r"\p{L}\p{N}_"
 
 #: Zeros of the scripts whose digits are turned into ASCII before a number is read.
 DIGIT_ZEROS = (0x660, 0x6F0, 0x966, 0x9E6, 0xA66, 0xAE6, 0xB66, 0xBE6, 0xC66, 0xCE6, 0xD66, 0xE50, 0xED0, 0xFF10)
+#: These digits and the ASCII ones, as the inside of a pattern's class.
+DIGITS = "0-9" + "".join(rf"\u{zero:04x}-\u{zero + 9:04x}" for zero in DIGIT_ZEROS)
 
 
 _inline = False

@@ -10,7 +10,7 @@ from typing import ClassVar
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..functions.expressions import WS_CHARS, ascii_digits, let, stripped
+from ..functions.expressions import DIGITS, WS, WS_CHARS, ascii_digits, let, stripped
 from .base import BaseCleaner, named
 
 
@@ -58,6 +58,22 @@ PLANS = {
     "AU": Plan("61", "0", ((r"(4\d{2})(\d{3})(\d{3})", "$1 $2 $3", None), (r"([2378])(\d{4})(\d{4})", "$1 $2 $3", "(0$1) $2 $3"))),
     "SG": Plan("65", "", ((r"([3689]\d{3})(\d{4})", "$1 $2", None),)),
     "AE": Plan("971", "0", ((r"(5[024-68])(\d{3})(\d{4})", "$1 $2 $3", None), (r"([2-4679])([2-8]\d{2})(\d{4})", "$1 $2 $3", None))),
+    "BE": Plan("32", "0", ((r"(4\d{2})(\d{2})(\d{2})(\d{2})", "$1 $2 $3 $4", None), (r"([2-49])(\d{3})(\d{2})(\d{2})", "$1 $2 $3 $4", None), (r"([15-8]\d)(\d{2})(\d{2})(\d{2})", "$1 $2 $3 $4", None))),
+    "BR": Plan("55", "0", ((r"([1-9][1-9])(9\d{4})(\d{4})", "$1 $2-$3", "($1) $2-$3"), (r"([1-9][1-9])([2-5]\d{3})(\d{4})", "$1 $2-$3", "($1) $2-$3"))),
+    "CH": Plan("41", "0", ((r"([2-7]\d)(\d{3})(\d{2})(\d{2})", "$1 $2 $3 $4", None),)),
+    "CN": Plan("86", "0", ((r"(1[3-9]\d)(\d{4})(\d{4})", "$1 $2 $3", "$1 $2 $3"), (r"(10|2\d)([2-9]\d{3})(\d{4})", "$1 $2 $3", None), (r"([3-9]\d{2})([2-9]\d{2,3})(\d{4})", "$1 $2 $3", None))),
+    "DE": Plan("49", "0", ((r"(15\d{2})(\d{7})", "$1 $2", None), (r"(1[67]\d)(\d{7,8})", "$1 $2", None), (r"(30|40|69|89)(\d{5,9})", "$1 $2", None), (r"([2-9]\d{2})(\d{4,8})", "$1 $2", None))),
+    "IT": Plan("39", "", ((r"(3\d{2})(\d{3})(\d{3,4})", "$1 $2 $3", None), (r"(0[26])(\d{4})(\d{4})", "$1 $2 $3", None), (r"(0\d{2})(\d{6,7})", "$1 $2", None))),
+    "JP": Plan("81", "0", ((r"([7-9]0)(\d{4})(\d{4})", "$1-$2-$3", None), (r"([36])(\d{4})(\d{4})", "$1-$2-$3", None), (r"([124578][1-9])(\d{3})(\d{4})", "$1-$2-$3", None))),
+    "KR": Plan("82", "0", ((r"(10)(\d{4})(\d{4})", "$1-$2-$3", None), (r"(2)(\d{3,4})(\d{4})", "$1-$2-$3", None), (r"([3-6][1-5])(\d{3,4})(\d{4})", "$1-$2-$3", None))),
+    "MX": Plan("52", "", ((r"(33|5[56]|81)(\d{4})(\d{4})", "$1 $2 $3", None), (r"([2-9]\d{2})(\d{3})(\d{4})", "$1 $2 $3", None))),
+    "NL": Plan("31", "0", ((r"(6)([1-58]\d{7})", "$1 $2", None), (r"([1-57]\d)(\d{3})(\d{4})", "$1 $2 $3", None))),
+    "NZ": Plan("64", "0", ((r"(2\d)(\d{3})(\d{3,5})", "$1 $2 $3", None), (r"([34679])([2-9]\d{2})(\d{4})", "$1-$2 $3", "(0$1) $2 $3"))),
+    "PL": Plan("48", "", ((r"([4-8]\d{2})(\d{3})(\d{3})", "$1 $2 $3", None), (r"([1-3]\d)(\d{3})(\d{2})(\d{2})", "$1 $2 $3 $4", None))),
+    "PT": Plan("351", "", ((r"(2[12])(\d{3})(\d{4})", "$1 $2 $3", None), (r"(2[3-9]\d|9[1-36]\d)(\d{3})(\d{3})", "$1 $2 $3", None))),
+    "RU": Plan("7", "8", ((r"([3489]\d{2})(\d{3})(\d{2})(\d{2})", "$1 $2-$3-$4", "8 ($1) $2-$3-$4"),)),
+    "SA": Plan("966", "0", ((r"(5\d)(\d{3})(\d{4})", "$1 $2 $3", None), (r"(1[1-7])(\d{3})(\d{4})", "$1 $2 $3", None))),
+    "ZA": Plan("27", "0", ((r"([1-8]\d)(\d{3})(\d{4})", "$1 $2 $3", None),)),
 }
 
 
@@ -78,12 +94,12 @@ class PhoneCleaner(BaseCleaner):
             raise ValueError(f"no numbering plan for {', '.join(unknown)}; there are {', '.join(PLANS)}")
 
     def parts(self, c: Column) -> tuple[Column]:
-        c = stripped(ascii_digits(c))
-        number = c.try_cast("double")
-        scientific = c.rlike(r"\A\d+(?:\.\d+)?[eE][+-]?\d+\z")
-        c = F.when(scientific, F.when(number < 1e18, number.cast("decimal(38,0)").cast("string"))).otherwise(c)
-        run = F.regexp_extract(c, rf"\+?\(?\d[\d{WS_CHARS}().\-/]{{4,}}\d", 0)
-        return (let(run, self.of_run),)
+        # Only what is a number or may hold one is turned into ASCII digits, not whole texts.
+        scientific = c.rlike(rf"\A{WS}*[{DIGITS}]+(?:\.[{DIGITS}]+)?[eE][+-]?[{DIGITS}]+{WS}*\z")
+        number = stripped(ascii_digits(c)).try_cast("double")
+        whole = F.when(number < 1e18, number.cast("decimal(38,0)").cast("string"))
+        run = F.regexp_extract(c, rf"\+?\(?[{DIGITS}][{DIGITS}{WS_CHARS}().\-/]{{4,}}[{DIGITS}]", 0)
+        return (let(F.when(scientific, F.when(F.length(whole) >= 6, whole)).otherwise(ascii_digits(run)), self.of_run),)
 
     def of_run(self, run: Column) -> Column:
         """The result from the characters that may be a number."""

@@ -11,6 +11,10 @@ from pyspark.sql import functions as F
 from ..functions.expressions import NWS, WORD, WS_CHARS, WS_RUN, let
 from .base import BaseCleaner, named
 
+#: A run of white space and control characters that isn't a single space already.
+OTHER = r"\x00-\x1f\x7f-\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+BLANK_RUN = rf"[{OTHER}][ {OTHER}]*| [ {OTHER}]+"
+
 
 @dataclass(frozen=True, kw_only=True)
 class TextCleaner(BaseCleaner):
@@ -36,12 +40,12 @@ class TextCleaner(BaseCleaner):
         if self.remove_digits:
             c = F.regexp_replace(c, r"\p{Nd}+", "")
         if self.remove_punctuation:
-            c = F.regexp_replace(c, rf"[^{WORD}{WS_CHARS}]", "")
-        if self.replace_newlines_with_spaces:
-            c = F.regexp_replace(c, r"[\x00-\x1f\x7f-\x9f]", " ")
+            c = F.regexp_replace(c, rf"[^{WORD}{WS_CHARS}]+", "")
+        if self.replace_newlines_with_spaces:  # one pass for controls and white space
+            c = F.regexp_replace(c, BLANK_RUN, " ")
         else:
-            c = F.regexp_replace(c, r"[\x00-\x08\x0a-\x1f\x7f-\x9f]", "")
-        c = F.btrim(F.regexp_replace(c, WS_RUN, " "))
+            c = F.regexp_replace(F.regexp_replace(c, r"[\x00-\x08\x0a-\x1f\x7f-\x9f]+", ""), WS_RUN, " ")
+        c = F.btrim(c)
         if self.lowercase:
             c = F.lower(c)
         return (F.nullif(c, F.lit("")),)

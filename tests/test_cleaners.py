@@ -21,6 +21,10 @@ VECTORS = [
     (PhoneCleaner(), [("+91 91234 56780", "+919123456780"), ("+1 (212) 664-7665", "+12126647665"), ("+44 20 7946 0958", "+442079460958"), ("9123456780", None), ("022-24567890", None)]),
     (PhoneCleaner(default_regions=("IN",)), [("9.12345678E+09", "+919123456780"), ("022-24567890", "+912224567890"), ("unknown", None), ("12345", None), ("ring 9123456780 after six", "+919123456780"), ("919123456780", "+919123456780"), ("2e500", None)]),
     (PhoneCleaner(default_regions=("US", "IN")), [("(212) 664-7665", "+12126647665"), ("91234 56780 9", None)]),
+    (PhoneCleaner(), [("+49 30 1234567", "+49301234567"), ("+55 11 91234-5678", "+5511912345678"), ("+81 90-1234-5678", "+819012345678"), ("+7 912 345 67 89", "+79123456789"), ("+55 11 1234", None), ("+86 138 0013 8000", "+8613800138000")]),
+    (PhoneCleaner(default_regions=("DE", "BR")), [("030 1234567", "+49301234567"), ("(11) 91234-5678", "+5511912345678")]),
+    (PhoneCleaner(default_regions=("BR",), out_format=PhoneCleaner.Format.NATIONAL), [("11912345678", "(11) 91234-5678"), ("+7 912 345 67 89", "8 (912) 345-67-89"), ("+41 44 668 18 00", "044 668 18 00")]),
+    (PhoneCleaner(default_regions=("IN",)), [("  ٩١٢٣٤٥٦٧٨٠ ", "+919123456780"), ("९.12345678E+09\n", "+919123456780"), ("1e3", None), ("", None), ("order １２ then ９１２３４５６７８０", "+919123456780"), ("order １２３４５６ then 9123456780", None)]),
     (PhoneCleaner(default_regions=("IN",), out_format=PhoneCleaner.Format.INTERNATIONAL), [("9123456780", "+91 91234 56780")]),
     (PhoneCleaner(default_regions=("IN",), out_format=PhoneCleaner.Format.NATIONAL), [("9123456780", "091234 56780")]),
     (PhoneCleaner(default_regions=("IN",), out_format=PhoneCleaner.Format.RAW_DIGITS), [("9123456780", "919123456780")]),
