@@ -14,7 +14,9 @@ state and count is tabulated at the entry state that a short run-up gives; maps
 composed from left to right as a prefix scan, and where a chunk was entered in another
 state than assumed, its map is tabulated there too. The counts are thereby exact.
 
-Memory is bounded: the table starts anew beyond STATES states.
+Memory is bounded: the table has a column for each class of characters met, and starts
+anew beyond CELLS cells. A model has a class for each character of its longer pieces and
+a few for all others, so texts of any mixture of characters take the same path.
 
 Defined results: a null text counts as empty (no bytes, no tokens); rows that repeat a
 doc_id have a row each; an empty table gives no rows; other columns are ignored.
@@ -31,8 +33,8 @@ from pyspark.sql import DataFrame
 from . import _shared
 
 CHUNK, RUN_UP = 256, 24
-#: States kept at once, and classes of characters that have a column of their own.
-STATES, CLASSES = 250_000, 128
+#: Cells of the table kept at once (five bytes each), and the columns it begins with.
+CELLS, COLUMNS = 32_000_000, 128
 SPACE = "▁"
 #: Ends a text; no valid text holds it.
 END = "\ud800"
@@ -58,13 +60,14 @@ class Transducer:
         self.reset()
 
     def reset(self) -> None:
-        self.classes = np.zeros(0x110000, np.uint8)  # 0: not seen yet
+        self.classes = np.zeros(0x110000, np.uint16)  # 0: not seen yet
         self.members: list[str | None] = [None]
+        self.of_char: dict[str, int] = {}
         self.lone: dict[int, int] = {}
         self.index: dict[tuple, int] = {}
         self.states: list[tuple] = []
-        self.next = np.full((1024, CLASSES), -1, np.int32)
-        self.emits = np.zeros((1024, CLASSES), np.int8)
+        self.next = np.full((1024, COLUMNS), -1, np.int32)
+        self.emits = np.zeros((1024, COLUMNS), np.int8)
         self.empty = self.state(("", (None,), (0,)))
 
     def state(self, key: tuple) -> int:
@@ -114,12 +117,16 @@ class Transducer:
             self.classes[point] = held
 
     def member(self, char: str | None) -> int:
-        if char is not None and char in self.members:
-            return self.members.index(char)
-        if len(self.members) == CLASSES:
-            raise Crowded
+        if char is not None and char in self.of_char:
+            return self.of_char[char]
+        held = len(self.members)
         self.members.append(char)
-        return len(self.members) - 1
+        if char is not None:
+            self.of_char[char] = held
+        if held == self.next.shape[1]:
+            self.next = np.concatenate([self.next, np.full_like(self.next, -1)], axis=1)
+            self.emits = np.concatenate([self.emits, np.zeros_like(self.emits)], axis=1)
+        return held
 
     def compile(self, state: int, held: int) -> None:
         """The transition of one state under one class."""
@@ -163,35 +170,13 @@ class Transducer:
         total = np.zeros(len(texts), np.int64)
         if not len(points):
             return total
-        if len(self.states) > STATES:
+        if len(self.states) * self.next.shape[1] > CELLS:
             self.reset()
-        try:
-            emitted = self.emissions(points)
-        except Crowded:  # more kinds of characters than columns: in two halves, or char by char
-            self.reset()
-            if len(texts) > 1:
-                half = len(texts) // 2
-                return np.concatenate([self.counts(texts[:half]), self.counts(texts[half:])])
-            return np.array([self.plainly(texts[0])])
+        emitted = self.emissions(points)
         sums = np.concatenate([[0], np.cumsum(emitted, dtype=np.int64)])
         stops = np.cumsum(sizes)
         return sums[stops] - sums[stops - sizes]
 
-    def plainly(self, text: str) -> int:
-        """One text with more kinds of characters than the table has columns: classes
-        are given anew whenever they run out."""
-        total, state = 0, ("", (None,), (0,))
-        for char in SPACE + text:
-            try:
-                self.classify(np.array([ord(char)]))
-            except Crowded:
-                self.reset()
-                self.classify(np.array([ord(char)]))
-            after, emits = self.step(np.array([self.state(state)]), np.array([self.classes[ord(char)]]))
-            state = self.states[after[0]]
-            total += int(emits[0])
-        return total
-
     def emissions(self, points: np.ndarray) -> np.ndarray:
         held = self.classes[points]
         if not held.all():
@@ -200,7 +185,7 @@ class Transducer:
         n = len(points)
         chunks = -(-n // CHUNK)
         end = next((c for e, c in self.lone.items() if e == 0))
-        padded = np.full(RUN_UP + chunks * CHUNK, end, np.uint8)
+        padded = np.full(RUN_UP + chunks * CHUNK, end, np.uint16)
         padded[RUN_UP : RUN_UP + n] = held
         rows = padded[RUN_UP:].reshape(chunks, CHUNK)
         runs = np.lib.stride_tricks.sliding_window_view(padded, RUN_UP)[::CHUNK][:chunks]
@@ -225,10 +210,6 @@ class Transducer:
         return out.T.reshape(-1)[:n]
 
 
-class Crowded(Exception):
-    """More kinds of characters than the table has columns."""
-
-
 SCHEMA = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_tokens", pa.int64()), ("over_limit", pa.bool_())])
 
 _loaded: dict[str, Transducer] = {}

@@ -408,14 +408,23 @@ def test_token_counts(spark, texts):
     assert token_count.token_counts(frame(spark, []), model).count() == 0
 
 
-def test_crowded_transducer(monkeypatch):
-    monkeypatch.setattr(token_count, "CLASSES", 12)
-    t = token_count.Transducer(queries.tokenizer("piece_bpe_32k.model"))
+def test_transducer_with_any_mixture_of_characters(monkeypatch):
     import sentencepiece
 
-    sp = sentencepiece.SentencePieceProcessor(model_file=queries.tokenizer("piece_bpe_32k.model"))
-    held = ["the quick brown fox", "jumps over", "中é"]
-    assert t.counts(held).tolist() == [len(sp.encode(x)) for x in held]
+    model = queries.tokenizer("piece_bpe_32k.model")
+    sp = sentencepiece.SentencePieceProcessor(model_file=model)
+    t = token_count.Transducer(model)
+    rng = random.Random(7)
+    joint = sorted(t.joint - {token_count.SPACE})
+    assert len(joint) > 128  # more than the table's first columns
+    held = ["the quick brown fox", "jumps over", "中é", "".join(rng.choices(joint, k=5000)), " ".join(joint)]
+    wanted = [len(sp.encode(x)) for x in held]
+    assert t.counts(held).tolist() == wanted
+    assert t.next.shape[1] > 128
+    monkeypatch.setattr(token_count, "COLUMNS", 12)
+    monkeypatch.setattr(token_count, "CELLS", 1000)  # anew for each text
+    t = token_count.Transducer(model)
+    assert [t.counts([x]).tolist()[0] for x in held] == wanted
 
 
 # ---- 8 ---------------------------------------------------------------------------------
