@@ -49,11 +49,22 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def discard(df: DataFrame) -> None:
-    """Remove a written table that nothing needs any more."""
+def _folders(df: DataFrame) -> Iterator[tuple]:
+    """A written table's folders and their file system."""
     for file in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
         path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(file)
-        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+        yield path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()), path
+
+
+def discard(df: DataFrame) -> None:
+    """Remove a written table that nothing needs any more."""
+    for store, path in _folders(df):
+        store.delete(path, True)
+
+
+def bytes_written(df: DataFrame) -> int:
+    """The size of a written table's files."""
+    return sum(store.getContentSummary(path).getLength() for store, path in _folders(df))
 
 
 def prepare(spark: SparkSession) -> None:
