@@ -67,3 +67,19 @@ def test_near_duplicates_are_found(spark):
     kept = corpus_pipeline.near_dedup(spark, docs, "").collect()
     assert {(r.doc_id, r.text) for r in kept} == {*((k, texts[k]) for k in [*range(8), *range(16, 24)]), (None, "alone"), (3, "other text")}
     assert len(kept) == 18
+
+
+def test_near_duplicates_by_broadcast_or_shuffle(spark, monkeypatch):
+    """Both ways to fetch the texts to compare keep the same rows, null and zero ids apart."""
+    from burnish.llm import jaccard
+
+    base = prose(11, 6, vocabulary=5000, length=200)
+    edited = [f"{t} and one end more" for t in base]
+    rows = [(k, t) for k, t in enumerate(base + edited)] + [(None, base[0]), (None, "alone"), (0, "alone too"), (3, base[3]), (20, None), (21, "")]
+    kept = []
+    for most in (jaccard.BROADCAST_BYTES, -1):
+        monkeypatch.setattr(jaccard, "BROADCAST_BYTES", most)
+        out = jaccard.representatives(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+        kept.append(sorted((r.doc_id is None, r.doc_id or 0, r.text or "") for r in out))
+    assert kept[0] == kept[1]
+    assert kept[0] == sorted([(False, k, t) for k, t in enumerate(base)] + [(True, 0, "alone"), (False, 0, "alone too"), (False, 20, "")])
