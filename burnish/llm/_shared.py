@@ -20,6 +20,10 @@ from pyspark.sql import functions as F
 #: Used only where the session names no spark.checkpoint.dir (tests, one machine).
 LOCAL_SHARED = "/tmp/checkpoints"
 
+#: With this Spark removes a query's shuffle files as soon as it ends, not when the
+#: driver happens to collect its garbage.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 #: Texts are handed to numpy in slices of about this many bytes.
 SLICE_BYTES = 1 << 20
 
@@ -42,10 +46,16 @@ def fresh_path(spark: SparkSession, name: str) -> str:
 
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write df as Parquet to the shared folder and read it back: lineage ends
-    there, and a lost executor costs no recomputation of what came before."""
+    there, and a lost executor costs no recomputation of what came before. The
+    shuffle files behind it go at once."""
     spark = df.sparkSession
     path = fresh_path(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -1,5 +1,7 @@
 """The pipeline, stage by stage, and the registered queries."""
 
+import time
+
 import pytest
 from test_operators import plain_components, plain_fingerprint, prose
 
@@ -83,3 +85,21 @@ def test_near_duplicates_by_broadcast_or_shuffle(spark, monkeypatch):
         kept.append(sorted((r.doc_id is None, r.doc_id or 0, r.text or "") for r in out))
     assert kept[0] == kept[1]
     assert kept[0] == sorted([(False, k, t) for k, t in enumerate(base)] + [(True, 0, "alone"), (False, 0, "alone too"), (False, 20, "")])
+
+
+def test_written_tables_leave_no_shuffle_files(spark):
+    """A written table's shuffle files go when it is written, and the session's setting stays."""
+    from pyspark.sql import functions as F
+
+    def shuffled():
+        files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString(" ")
+        return {f.rsplit("/", 1)[1] for f in files.split() if "/shuffle_" in f}
+
+    before, setting = shuffled(), spark.conf.get(_shared.CLEANUP, None)
+    out = _shared.written(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count(), "counted")
+    for _ in range(50):  # removal isn't awaited by Spark
+        if not (left := shuffled() - before):
+            break
+        time.sleep(0.1)
+    assert not left and spark.conf.get(_shared.CLEANUP, None) == setting
+    assert sorted(map(tuple, out.collect())) == [(k, 143 if k < 6 else 142) for k in range(7)]
