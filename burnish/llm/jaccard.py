@@ -1,20 +1,25 @@
-"""Near-duplicates by exact Jaccard similarity, for the pipeline's stage.
+"""Near-duplicates of Jaccard similarity 0.8 or more through SimHash, for the pipeline's stage.
 
-SimHash can't serve here: two texts whose sets of shingles have a Jaccard similarity
-of 0.8 differ in about ten of 64 bits and often in more, and a radius that holds them
-all also holds unrelated texts. So the sets themselves are joined, and no pair is lost:
+Operator 1's radius of 2 bits can't serve here: two texts whose sets of shingles have a
+Jaccard similarity of 0.8 differ in about ten of 64 bits. With a radius that holds them
+all, blocks of bits tell no shards apart, so shards are named by shingles instead:
 
-1. Every text becomes the set of XXH64 values of its shingles. Texts with equal sets
-   meet first, so copies cost no comparison.
+1. Every text becomes the set of XXH64 values of its shingles and the set's 64-bit
+   fingerprint. Texts with equal sets meet first, so copies cost no comparison.
 2. All sets are put in one order: shingles that are frequent in a sample come last.
    Two similar sets share a shingle among the first n - ceil(s n) + 1 of each, so a
-   set is sent only to those shingles. The order decides the cost, never the result.
-3. Where sets meet, each is first compared with a fixed number of them; sizes, positions
-   and 256 parities of each set rule out most of these pairs, the rest are counted. Linked sets
-   are joined by the alternating stars of operator 1, so that a large group of near
-   copies is one component after work in proportion to its size.
-4. Where sets of different components meet, each set outside the largest component there
-   is compared with all others. Pairs within a component are never made.
+   fingerprint is sent only to the shards of those shingles. The order decides the cost,
+   never the result.
+3. A shard is a BK-tree of fingerprints, asked for all within RADIUS bits. Each bit of two
+   similar sets differs with a probability of 0.19 at most (sets of four and five), 0.15 if
+   they are large, so a pair lies outside with one of about 1e-6, or 1e-8. Places that find
+   nothing in their shard go no further. Pairs that sizes, positions and 1024 parities of
+   each set don't rule out are counted exactly.
+4. First each set asks a tree of a fixed number of its shard. Linked sets are joined by the
+   alternating stars of operator 1, so that a large group of near copies is one component
+   after work in proportion to its size.
+5. Where sets of different components meet, each set outside the largest component there
+   asks the tree of all others. Pairs within a component are never made.
 
 Defined results: texts are lower-cased (A-Z) and cut at ASCII blanks; a text of fewer
 words than a shingle is one shingle; null and empty texts are equal; of each group the
@@ -42,8 +47,10 @@ SHINGLE = 5
 SIMILAR = (4, 5)
 #: So many texts tell which shingles are frequent, and so many shingles are held so.
 SAMPLE, FREQUENT = 20_000, 1 << 18
-#: Words of 64 bits of a set's parities; a member falls to a bit by its first 8 bits.
-WORDS = 4
+#: Fingerprints of similar sets differ in so many bits at most.
+RADIUS = 28
+#: Words of 64 bits of a set's parities; a member falls to a bit by its first 10 bits.
+WORDS = 16
 #: So many members of a shingle's group are compared with all others first.
 LEADERS = 4
 #: Pairs of one shingle are looked at in pieces of about this many.
@@ -84,9 +91,15 @@ def prefix(values: np.ndarray, frequent: np.ndarray) -> np.ndarray:
     return values[:many]
 
 
+def fingerprint(values: np.ndarray) -> int:
+    """The SimHash of a set, signed: a bit is set if it is in over half of the members."""
+    ones = np.unpackbits(values.astype("<u8").view(np.uint8), bitorder="little").reshape(-1, 64).sum(0, dtype=np.int64)
+    return int(np.packbits(2 * ones > len(values), bitorder="little").view("<i8")[0])
+
+
 def parities(values: np.ndarray) -> bytes:
     """WORDS * 64 bits, each the parity of the number of members that fall to it."""
-    return np.packbits((np.bincount((values >> np.uint64(64 - 8)).astype(np.int64), minlength=64 * WORDS) & 1).astype(np.uint8)).tobytes()
+    return np.packbits((np.bincount((values >> np.uint64(64 - 10)).astype(np.int64), minlength=64 * WORDS) & 1).astype(np.uint8)).tobytes()
 
 
 def close(n: np.ndarray, m: np.ndarray, common: np.ndarray) -> np.ndarray:
@@ -116,7 +129,10 @@ def frequent_shingles(texts: DataFrame, shingle: int) -> np.ndarray:
     last = hashed.select("h").distinct().orderBy("h").limit(SAMPLE).agg(F.max("h")).first()[0]
     some = hashed.where(F.col("h") <= F.lit(last)).dropDuplicates(["h"]).select("text")
     counts = some.mapInArrow(run, "s long").groupBy("s").count().where("count > 2").orderBy(F.desc("count"), "s").limit(FREQUENT)
-    return np.unique(np.array([r.s for r in counts.collect()], np.int64).view(np.uint64))  # FREQUENT rows at most
+    held = _shared.written(counts, "frequent")
+    out = [r.s for r in held.collect()]
+    _shared.discard(held)
+    return np.unique(np.array(out, np.int64).view(np.uint64))  # FREQUENT rows at most
 
 
 def groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, np.ndarray]]:
@@ -138,77 +154,164 @@ def groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, np.nda
             yield whole.slice(0, bounds[-1]), bounds
 
 
-def shared(sets: DataFrame) -> DataFrame:
-    """s, key, n, pos, bits: the places in prefixes of shingles that two sets have there.
-    sets: key, n, bits, prefix, keys distinct."""
-    dealt = sets.select("key", F.posexplode("prefix").alias("pos", "s")).select("s", "key", "pos").repartition("s").sortWithinPartitions("s")
+class Forest:
+    """A BK-tree of each group's fingerprints, all built and asked at once, level by level.
+    A node is a distinct fingerprint of its group, its children are keyed by distance."""
+
+    def __init__(self, group: np.ndarray, value: np.ndarray):
+        self.members = np.lexsort((value, group))
+        group, value = group[self.members], value[self.members]
+        self.first = np.flatnonzero(_starts(group) | _starts(value))
+        self.many = np.diff(np.append(self.first, len(group)))
+        group, self.value = group[self.first], value[self.first]
+        self.groups, self.roots = group[_starts(group)], np.flatnonzero(_starts(group))
+        self.edge, parent = np.zeros(len(group), np.int64), np.full(len(group), -1)
+        nodes, subtree = np.arange(len(group)), group
+        while len(nodes):
+            top = _starts(subtree)
+            above = nodes[top][np.cumsum(top) - 1][~top]
+            nodes = nodes[~top]
+            subtree = above * 65 + np.bitwise_count(self.value[nodes] ^ self.value[above])
+            order = np.argsort(subtree, kind="stable")
+            nodes, subtree = nodes[order], subtree[order]
+            new = _starts(subtree)
+            parent[nodes[new]], self.edge[nodes[new]] = np.divmod(subtree[new], 65)
+        self.children = np.argsort(parent, kind="stable")
+        self.begin = np.searchsorted(parent[self.children], np.arange(len(group)))
+        self.end = np.searchsorted(parent[self.children], np.arange(len(group)), "right")
+
+    def within(self, group: np.ndarray, value: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+        """Places of those who ask and of the members of their group within the radius."""
+        who, node = np.arange(len(value)), self.roots[np.searchsorted(self.groups, group)]
+        asking, found = [who[:0]], [who[:0]]
+        while len(who):
+            apart = np.bitwise_count(value[who] ^ self.value[node]).astype(np.int64)
+            near = apart <= radius
+            at, every = _ranges(self.first[node[near]], self.many[node[near]])
+            asking.append(who[near][every])
+            found.append(self.members[at])
+            at, every = _ranges(self.begin[node], (self.end - self.begin)[node])
+            node, who, apart = self.children[at], who[every], apart[every]
+            follow = np.abs(self.edge[node] - apart) <= radius
+            node, who = node[follow], who[follow]
+        return np.concatenate(asking), np.concatenate(found)
+
+
+def _starts(values: np.ndarray) -> np.ndarray:
+    """Where a value differs from the one before."""
+    return np.concatenate([[True], values[1:] != values[:-1]])[: len(values)]
+
+
+def _ranges(begin: np.ndarray, many: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers begin, begin + 1, ... of all ranges, and which range each is of."""
+    which = np.repeat(np.arange(len(many)), many)
+    return np.arange(len(which)) + np.repeat(begin - (np.cumsum(many) - many), many), which
+
+
+class Shards:
+    """The places of whole shards, their bounds known; s, key, n, pos, fp, perhaps component."""
+
+    def __init__(self, rows: pa.Table, bounds: np.ndarray, radius: int):
+        self.key, self.n, self.pos, fp = (rows.column(c).to_numpy().astype(np.int64) for c in ("key", "n", "pos", "fp"))
+        self.fp = fp.view(np.uint64)
+        self.component = rows.column("component").to_numpy() if "component" in rows.column_names else self.key
+        self.bounds, self.radius = bounds, radius
+        self.shard = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
+
+    def leaders(self) -> np.ndarray:
+        """Of each shard LEADERS members spread over its sizes."""
+        return np.unique([self.bounds[:-1] + np.diff(self.bounds) * (2 * k + 1) // (2 * LEADERS) for k in range(LEADERS)])
+
+    def large(self) -> np.ndarray:
+        """Which places are of their shard's largest component."""
+        order = np.lexsort((self.component, self.shard))
+        run = np.cumsum(_starts(self.shard[order]) | _starts(self.component[order])) - 1
+        many = np.bincount(run)
+        largest = np.maximum.reduceat(many[run], self.bounds[:-1])
+        where = np.flatnonzero(many[run] == largest[self.shard])
+        first = np.minimum.reduceat(np.where(many[run] == largest[self.shard], run, len(run)), self.bounds[:-1])
+        out = np.zeros(len(run), bool)
+        out[order[where[run[where] == first[self.shard[where]]]]] = True
+        return out
+
+    def near(self, members: np.ndarray, asking: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Places (rising) of those who ask and of members of their shard, of different
+        components, within the radius, and that sizes and positions don't rule out."""
+        if not len(members) or not len(asking):
+            return
+        trees = Forest(self.shard[members], self.fp[members])
+        work = np.cumsum(np.bincount(self.shard[members], minlength=len(self.bounds))[self.shard[asking]]) // PAIRS
+        for some in np.split(asking, np.flatnonzero(np.diff(work)) + 1):
+            a, b = trees.within(self.shard[some], self.fp[some], self.radius)
+            a, b = some[a], members[b]
+            use = np.flatnonzero((self.component[a] != self.component[b]) & close(self.n[a], self.n[b], np.minimum(self.n[a] - self.pos[a], self.n[b] - self.pos[b])))
+            yield a[use], b[use]
+
+
+def shared(sets: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """s, key, n, pos, fp: the places in prefixes of shingles where a set finds another that
+    may be similar. sets: key, n, fp, prefix, keys distinct."""
+    dealt = sets.select("key", "n", "fp", F.posexplode("prefix").alias("pos", "s")).select("s", "key", "n", "pos", "fp").repartition("s").sortWithinPartitions("s", "n", "key")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, bounds in groups(batches):
             size = np.diff(bounds)
-            yield from rows.filter(pa.array(np.repeat(size > 1, size))).to_batches()
-
-    return dealt.mapInArrow(run, "s long, key long, pos int").join(sets.select("key", "n", "bits"), "key")
-
-
-def met(places: DataFrame, stars: bool) -> DataFrame:
-    """Distinct pairs (u, v), u > v, of different components that share a shingle of both
-    prefixes and that sizes, positions and bits don't rule out: of each set with LEADERS of
-    them (stars), or all. places: s, key, n, pos, bits, component."""
-    dealt = places.select("s", "key", "n", "pos", "bits", "component").repartition("s").sortWithinPartitions("s", "n", "key")
+            rows = rows.filter(pa.array(np.repeat(size > 1, size)))
+            if not rows.num_rows:
+                continue
+            held = Shards(rows, np.concatenate([[0], np.cumsum(size[size > 1])]), radius)
+            every, kept = np.arange(rows.num_rows), np.zeros(rows.num_rows, bool)
+            # Who finds a leader needn't ask the others.
+            for members, asking in ((held.leaders, lambda: every), (lambda: every, lambda: np.flatnonzero(~kept))):
+                for a, b in held.near(members(), asking()):
+                    kept[a] = kept[b] = True
+            yield from rows.filter(pa.array(kept)).to_batches()
+
+    return dealt.mapInArrow(run, "s long, key long, n int, pos int, fp long")
+
+
+def met(places: DataFrame, stars: bool, radius: int = RADIUS) -> DataFrame:
+    """Distinct pairs (u, v), u > v, of different components that find each other in a shard:
+    of each set with LEADERS of it (stars), or all. places: s, key, n, pos, fp, component."""
+    dealt = places.select("s", "key", "n", "pos", "fp", "component").repartition("s").sortWithinPartitions("s", "n", "key")
     schema = pa.schema([("u", pa.int64()), ("v", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, bounds in groups(batches):
-            key, n, pos, component = (rows.column(c).to_numpy().astype(np.int64) for c in ("key", "n", "pos", "component"))
-            bits = np.frombuffer(b"".join(rows.column("bits").to_pylist()), np.uint64).reshape(-1, WORDS)
-            for a, b in star_pairs(bounds) if stars else other_pairs(bounds, component):
-                use = np.flatnonzero((component[a] != component[b]) & close(n[a], n[b], np.minimum(n[a] - pos[a], n[b] - pos[b])))
-                a, b = a[use], b[use]
-                # Sets differ in as many members at least as their bits do.
-                apart = np.bitwise_count(bits[a] ^ bits[b]).sum(1, dtype=np.int64)
-                use = close(n[a], n[b], (n[a] + n[b] - apart) // 2)
-                x, y = key[a[use]], key[b[use]]
+            held = Shards(rows, bounds, radius)
+            large = np.zeros(rows.num_rows, bool) if stars else held.large()
+            members, asking = (held.leaders(), np.arange(rows.num_rows)) if stars else (np.arange(rows.num_rows), np.flatnonzero(~large))
+            members = members[np.isin(held.shard[members], held.shard[asking])]
+            for a, b in held.near(members, asking):
+                once = stars | large[b] | (b > a)
+                x, y = held.key[a[once]], held.key[b[once]]
                 if len(x):
                     yield _shared.arrow_out(schema, [np.maximum(x, y), np.minimum(x, y)])
 
     return dealt.mapInArrow(run, "u long, v long").distinct()
 
 
-def star_pairs(bounds: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Places of each group's members and of LEADERS members spread over its sizes."""
-    for k in range(LEADERS):
-        leader = bounds[:-1] + np.diff(bounds) * (2 * k + 1) // (2 * LEADERS)
-        yield np.arange(bounds[-1]), np.repeat(leader, np.diff(bounds))
-
-
-def other_pairs(bounds: np.ndarray, component: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Places of pairs that hold every pair of a group's members of different components
-    once: each member outside the group's largest component with all others."""
-    first = np.repeat(component[bounds[:-1]], np.diff(bounds))
-    mixed = np.flatnonzero(np.logical_or.reduceat(component != first, bounds[:-1]))
-    left, right, held = [], [], 0
-    for lo, hi in zip(bounds[mixed].tolist(), bounds[mixed + 1].tolist(), strict=True):
-        values, times = np.unique(component[lo:hi], return_counts=True)
-        large = component[lo:hi] == values[np.argmax(times)]
-        every, outside = np.arange(lo, hi), lo + np.flatnonzero(~large)
-        step = max(1, PAIRS // (hi - lo))
-        for k in range(0, len(outside), step):
-            a, b = np.repeat(outside[k : k + step], hi - lo), np.tile(every, len(outside[k : k + step]))
-            once = large[b - lo] | (b > a)
-            left.append(a[once])
-            right.append(b[once])
-            held += len(left[-1])
-            if held > PAIRS:
-                yield np.concatenate(left), np.concatenate(right)
-                left, right, held = [], [], 0
-    if left:
-        yield np.concatenate(left), np.concatenate(right)
+def possible(pairs: DataFrame, names: DataFrame) -> DataFrame:
+    """The pairs (u, v) that sizes and parities don't rule out. names: key, n, bits, keys distinct."""
+    one, two = (names.select(F.col("key").alias(c), F.col("n").alias(n), F.col("bits").alias(b)) for c, n, b in (("u", "n", "a"), ("v", "m", "b")))
+    links = pa.schema([("u", pa.int64()), ("v", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n, m = (batch.column(c).to_numpy().astype(np.int64) for c in ("n", "m"))
+            left, right = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint64).reshape(-1, WORDS) for c in ("a", "b"))
+            # Sets differ in as many members at least as their bits do.
+            apart = np.bitwise_count(left ^ right).sum(1, dtype=np.int64)
+            use = pa.array(close(n, m, (n + m - apart) // 2), pa.bool_())
+            yield _shared.arrow_out(links, [batch.column(c).filter(use) for c in ("u", "v")])
+
+    return pairs.join(one, "u").join(two, "v").mapInArrow(run, "u long, v long")
 
 
 def similar(pairs: DataFrame, texts: DataFrame, names: DataFrame, shingle: int) -> DataFrame:
-    """The pairs (u, v) whose sets are similar, written. texts: hash, text; names: key and
-    the hash of one of its texts, keys distinct."""
+    """The pairs (u, v) whose sets are similar, written. texts: hash, text; names: key, n,
+    bits and the hash of one of its texts, keys distinct."""
+    pairs = _shared.written(possible(pairs, names), "possible")
     ends = pairs.select(F.col("u").alias("key")).union(pairs.select(F.col("v").alias("key"))).distinct()
     schema = pa.schema([("key", pa.int64()), ("members", pa.binary())])
     links = pa.schema([("u", pa.int64()), ("v", pa.int64())])
@@ -218,7 +321,7 @@ def similar(pairs: DataFrame, texts: DataFrame, names: DataFrame, shingle: int)
             yield _shared.arrow_out(schema, [batch.column("key"), [x.tobytes() for x in _each(batch, shingle)]])
 
     # Written, so that their size is known before any text moves.
-    named = _shared.written(names.join(ends, "key", "left_semi"), "similar_names")
+    named = _shared.written(names.select("key", "hash").join(ends, "key", "left_semi"), "similar_names")
     small = _shared.bytes_written(named) <= BROADCAST_BYTES
     wanted = texts.join(F.broadcast(named) if small else named, "hash").select("key", "text").dropDuplicates(["key"])
     held = _shared.written(wanted.mapInArrow(members, "key long, members binary"), "similar_sets")
@@ -235,32 +338,33 @@ def similar(pairs: DataFrame, texts: DataFrame, names: DataFrame, shingle: int)
 
     found = _shared.written(pairs.join(one, "u").join(two, "v").mapInArrow(run, "u long, v long"), "links")
     _shared.discard(held)
+    _shared.discard(pairs)
     return found
 
 
-def classes(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
+def classes(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
     """doc_id, hash (of the text) and root (the same for all of a group), for each row."""
     _shared.prepare(docs.sparkSession)
     plain = _shared.documents(docs).select("doc_id", F.xxhash64("text").alias("hash"), "text")
     frequent = docs.sparkSession.sparkContext.broadcast(frequent_shingles(plain, shingle))
-    schema = pa.schema([("doc_id", pa.int64()), ("hash", pa.int64()), ("key", pa.int64()), ("n", pa.int32()), ("bits", pa.binary()), ("prefix", pa.list_(pa.int64()))])
+    schema = pa.schema([("doc_id", pa.int64()), ("hash", pa.int64()), ("key", pa.int64()), ("n", pa.int32()), ("fp", pa.int64()), ("bits", pa.binary()), ("prefix", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [(set_key(v), len(v), parities(v), prefix(v, frequent.value).view(np.int64)) for v in _each(batch, shingle)]
+            found = [(set_key(v), len(v), fingerprint(v), parities(v), prefix(v, frequent.value).view(np.int64)) for v in _each(batch, shingle)]
             if found:
                 yield _shared.arrow_out(schema, [batch.column("doc_id"), batch.column("hash"), *zip(*found, strict=True)])
 
-    sets = _shared.written(plain.mapInArrow(run, "doc_id long, hash long, key long, n int, bits binary, prefix array<long>"), "sets")
-    texts, names = plain.select("hash", "text"), sets.groupBy("key").agg(F.min("hash").alias("hash"))
-    distinct = sets.select("key", "n", "bits", "prefix").dropDuplicates(["key"])
-    places = _shared.written(shared(distinct), "places")
-    stars = _shared.written(met(places.withColumn("component", F.col("key")), stars=True), "stars")
+    sets = _shared.written(plain.mapInArrow(run, "doc_id long, hash long, key long, n int, fp long, bits binary, prefix array<long>"), "sets")
+    texts, names = plain.select("hash", "text"), sets.select("key", "n", "bits", "hash").dropDuplicates(["key"])
+    distinct = sets.select("key", "n", "fp", "prefix").dropDuplicates(["key"])
+    places = _shared.written(shared(distinct, radius), "places")
+    stars = _shared.written(met(places.withColumn("component", F.col("key")), stars=True, radius=radius), "stars")
     links = similar(stars, texts, names, shingle)
     _shared.discard(stars)
     roots = components(links).select(F.col("u").alias("key"), F.col("v").alias("root"))
     told = places.join(roots, "key", "left").withColumn("component", F.coalesce("root", "key"))
-    pairs = _shared.written(met(told, stars=False), "pairs")
+    pairs = _shared.written(met(told, stars=False, radius=radius), "pairs")
     _shared.discard(places)
     more = similar(pairs, texts, names, shingle)
     _shared.discard(pairs)
@@ -269,10 +373,10 @@ def classes(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     return named.select("doc_id", "hash", F.coalesce("root", "key").alias("root"))
 
 
-def representatives(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
+def representatives(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
     """docs with one row of each group of near-duplicates."""
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "hash")
-    kept = classes(docs, shingle).groupBy("root").agg(F.min(order).alias("x"))
+    kept = classes(docs, shingle, radius).groupBy("root").agg(F.min(order).alias("x"))
     kept = kept.select(F.col("x.doc_id").alias("kept_id"), F.col("x.hash").alias("kept_hash")).distinct()
     inner, names = _shared.numbered(docs), docs.columns
     id_, text = F.col(f"c{_shared.place(names, 'doc_id')}"), F.col(f"c{_shared.place(names, 'text')}")

@@ -103,3 +103,47 @@ def test_written_tables_leave_no_shuffle_files(spark):
         time.sleep(0.1)
     assert not left and spark.conf.get(_shared.CLEANUP, None) == setting
     assert sorted(map(tuple, out.collect())) == [(k, 143 if k < 6 else 142) for k in range(7)]
+
+
+def test_near_duplicates_come_through_fingerprints(spark):
+    """Without a radius only equal sets meet; with it the trees find what brute force finds."""
+    import numpy as np
+
+    from burnish.llm import jaccard, simhash
+
+    base = prose(11, 4, vocabulary=5000, length=200)
+    docs = spark.createDataFrame([*enumerate([*base, *(f"{t} and one end more" for t in base), base[0]])], "doc_id long, text string")
+    assert {r.doc_id for r in jaccard.representatives(docs).collect()} == {0, 1, 2, 3}
+    assert {r.doc_id for r in jaccard.representatives(docs, radius=-1).collect()} == set(range(8))
+
+    values = jaccard.shingles(base[0].encode())
+    ones = [sum(int(v) >> k & 1 for v in values) for k in range(64)]
+    assert jaccard.fingerprint(values) % (1 << 64) == sum(1 << k for k in range(64) if 2 * ones[k] > len(values))
+    rng = np.random.default_rng(5)
+    group = np.sort(rng.integers(0, 9, 200))
+    prints = rng.integers(0, 1 << 64, 3, np.uint64, endpoint=False)[rng.integers(0, 3, 200)] ^ (np.uint64(1) << rng.integers(0, 64, 200).astype(np.uint64))
+    for radius in (0, 2, 28, 40):
+        want = set()
+        for g in set(group.tolist()):
+            tree, places = simhash.BKTree(), np.flatnonzero(group == g).tolist()
+            for k in places:
+                tree.add(int(prints[k]))
+            near = {k: set(tree.within(int(prints[k]), radius)) for k in places}
+            want |= {(a, b) for a in places for b in places if int(prints[b]) in near[a]}
+        a, b = jaccard.Forest(group, prints).within(group, prints, radius)
+        assert len(a) == len(want) and set(zip(a.tolist(), b.tolist(), strict=True)) == want
+
+
+def test_unlike_texts_that_share_shingles_go_no_further(spark):
+    """Places in shards where a text finds none like it aren't carried on."""
+    from burnish.llm import jaccard
+
+    texts = [f"{t} five words they all share" for t in prose(12, 12, vocabulary=5000, length=300)]
+    texts += [f"{texts[0]} and one end more"]
+    rows = []
+    for k, text in enumerate(texts):
+        values = jaccard.shingles(text.encode())
+        shared = jaccard.shingles(b"five words they all share")
+        rows.append((k, len(values), jaccard.fingerprint(values), [int(x) for x in sorted({*jaccard.prefix(values, shared[:0]).view("int64").tolist(), *shared.view("int64").tolist()})]))
+    found = jaccard.shared(spark.createDataFrame(rows, "key long, n int, fp long, prefix array<long>"), 12).collect()
+    assert {r.key for r in found} == {0, 12} and len(found) > 20
