@@ -13,13 +13,17 @@ all, blocks of bits tell no shards apart, so shards are named by shingles instea
 3. A shard is a BK-tree of fingerprints, asked for all within RADIUS bits. Each bit of two
    similar sets differs with a probability of 0.19 at most (sets of four and five), 0.15 if
    they are large, so a pair lies outside with one of about 1e-6, or 1e-8. Places that find
-   nothing in their shard go no further. Pairs that sizes, positions and 1024 parities of
-   each set don't rule out are counted exactly.
+   nothing in their shard go no further, the others take 1024 parities of their set along.
+   Only pairs that sizes, positions and parities don't rule out leave a shard; they are
+   counted exactly.
 4. First each set asks a tree of a fixed number of its shard. Linked sets are joined by the
    alternating stars of operator 1, so that a large group of near copies is one component
    after work in proportion to its size.
 5. Where sets of different components meet, each set outside the largest component there
-   asks the tree of all others. Pairs within a component are never made.
+   asks the tree of all others. Those found go to the exact count in rounds, the nearest by
+   parities first, and a set goes on to farther ones only while they are of another
+   component than its own has become, until none are left. So a set among many near
+   copies makes few pairs and no link is lost. Pairs within a component are never made.
 
 Defined results: texts are lower-cased (A-Z) and cut at ASCII blanks; a text of fewer
 words than a shingle is one shingle; null and empty texts are equal; of each group the
@@ -55,6 +59,11 @@ WORDS = 16
 LEADERS = 4
 #: Pairs of one shingle are looked at in pieces of about this many.
 PAIRS = 1 << 20
+#: Parities are compared for so many pairs at once (8 MB a side).
+COMPARED = 1 << 16
+#: A set's pairs go to the exact count up to this rank in the first round, in each further
+#: round up to so many times the rank before.
+NEAREST, FARTHER = 8, 16
 #: Names of the texts to compare are broadcast up to this size of their files (16 bytes
 #: a text, some 50 in memory); beyond it the texts are shuffled.
 BROADCAST_BYTES = 32 << 20
@@ -209,12 +218,13 @@ def _ranges(begin: np.ndarray, many: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 class Shards:
-    """The places of whole shards, their bounds known; s, key, n, pos, fp, perhaps component."""
+    """The places of whole shards, their bounds known; s, key, n, pos, fp, perhaps bits and component."""
 
     def __init__(self, rows: pa.Table, bounds: np.ndarray, radius: int):
         self.key, self.n, self.pos, fp = (rows.column(c).to_numpy().astype(np.int64) for c in ("key", "n", "pos", "fp"))
         self.fp = fp.view(np.uint64)
         self.component = rows.column("component").to_numpy() if "component" in rows.column_names else self.key
+        self.bits = np.frombuffer(b"".join(rows.column("bits").to_pylist()), np.uint64).reshape(-1, WORDS) if "bits" in rows.column_names else None
         self.bounds, self.radius = bounds, radius
         self.shard = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
 
@@ -234,9 +244,18 @@ class Shards:
         out[order[where[run[where] == first[self.shard[where]]]]] = True
         return out
 
-    def near(self, members: np.ndarray, asking: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Places (rising) of those who ask and of members of their shard, of different
-        components, within the radius, and that sizes and positions don't rule out."""
+    def apart(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """In how many bits the parities of places differ; none where there are no parities.
+        Sets differ in as many members at least."""
+        if self.bits is None:
+            return np.zeros(len(a), np.int64)
+        parts = [np.bitwise_count(self.bits[a[k : k + COMPARED]] ^ self.bits[b[k : k + COMPARED]]).sum(1, dtype=np.int64) for k in range(0, len(a), COMPARED)]
+        return np.concatenate([np.zeros(0, np.int64), *parts])
+
+    def near(self, members: np.ndarray, asking: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Places of those who ask and of members of their shard, of different components,
+        within the radius, and that sizes, positions and parities don't rule out; and the
+        share of members that parities tell apart. All of one who asks come at once."""
         if not len(members) or not len(asking):
             return
         trees = Forest(self.shard[members], self.fp[members])
@@ -245,7 +264,10 @@ class Shards:
             a, b = trees.within(self.shard[some], self.fp[some], self.radius)
             a, b = some[a], members[b]
             use = np.flatnonzero((self.component[a] != self.component[b]) & close(self.n[a], self.n[b], np.minimum(self.n[a] - self.pos[a], self.n[b] - self.pos[b])))
-            yield a[use], b[use]
+            a, b = a[use], b[use]
+            both, apart = self.n[a] + self.n[b], self.apart(a, b)
+            use = np.flatnonzero(close(self.n[a], self.n[b], (both - apart) // 2))
+            yield a[use], b[use], apart[use] / np.maximum(both[use], 1)
 
 
 def shared(sets: DataFrame, radius: int = RADIUS) -> DataFrame:
@@ -263,55 +285,65 @@ def shared(sets: DataFrame, radius: int = RADIUS) -> DataFrame:
             every, kept = np.arange(rows.num_rows), np.zeros(rows.num_rows, bool)
             # Who finds a leader needn't ask the others.
             for members, asking in ((held.leaders, lambda: every), (lambda: every, lambda: np.flatnonzero(~kept))):
-                for a, b in held.near(members(), asking()):
+                for a, b, _ in held.near(members(), asking()):
                     kept[a] = kept[b] = True
             yield from rows.filter(pa.array(kept)).to_batches()
 
     return dealt.mapInArrow(run, "s long, key long, n int, pos int, fp long")
 
 
-def met(places: DataFrame, stars: bool, radius: int = RADIUS) -> DataFrame:
-    """Distinct pairs (u, v), u > v, of different components that find each other in a shard:
-    of each set with LEADERS of it (stars), or all. places: s, key, n, pos, fp, component."""
-    dealt = places.select("s", "key", "n", "pos", "fp", "component").repartition("s").sortWithinPartitions("s", "n", "key")
+def _by_shard(places: DataFrame, *more: str) -> DataFrame:
+    return places.select("s", "key", "n", "pos", "fp", "bits", *more).repartition("s").sortWithinPartitions("s", "n", "key")
+
+
+def starred(places: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """Distinct pairs (u, v), u > v, that may be similar: of each set with LEADERS of its
+    shard. places: s, key, n, pos, fp, bits."""
     schema = pa.schema([("u", pa.int64()), ("v", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, bounds in groups(batches):
             held = Shards(rows, bounds, radius)
-            large = np.zeros(rows.num_rows, bool) if stars else held.large()
-            members, asking = (held.leaders(), np.arange(rows.num_rows)) if stars else (np.arange(rows.num_rows), np.flatnonzero(~large))
-            members = members[np.isin(held.shard[members], held.shard[asking])]
-            for a, b in held.near(members, asking):
-                once = stars | large[b] | (b > a)
-                x, y = held.key[a[once]], held.key[b[once]]
+            for a, b, _ in held.near(held.leaders(), np.arange(rows.num_rows)):
+                x, y = held.key[a], held.key[b]
                 if len(x):
                     yield _shared.arrow_out(schema, [np.maximum(x, y), np.minimum(x, y)])
 
-    return dealt.mapInArrow(run, "u long, v long").distinct()
+    return _by_shard(places).mapInArrow(run, "u long, v long").distinct()
 
 
-def possible(pairs: DataFrame, names: DataFrame) -> DataFrame:
-    """The pairs (u, v) that sizes and parities don't rule out. names: key, n, bits, keys distinct."""
-    one, two = (names.select(F.col("key").alias(c), F.col("n").alias(n), F.col("bits").alias(b)) for c, n, b in (("u", "n", "a"), ("v", "m", "b")))
-    links = pa.schema([("u", pa.int64()), ("v", pa.int64())])
+def nearest(places: DataFrame, first: int, last: int, radius: int = RADIUS) -> DataFrame:
+    """Distinct rows (0, u, v), u > v: pairs that may be similar and are of different
+    components now. Each set outside its shard's largest component asks all there. Of those
+    it finds the ones from rank first up to last come, the nearest having rank 0; if
+    there are farther ones, a row (s, u, u) says so. places: s, key, n, pos, fp, bits, now and
+    component, on which ranks depend and which is the same in each round."""
+    schema = pa.schema([("s", pa.int64()), ("u", pa.int64()), ("v", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            n, m = (batch.column(c).to_numpy().astype(np.int64) for c in ("n", "m"))
-            left, right = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint64).reshape(-1, WORDS) for c in ("a", "b"))
-            # Sets differ in as many members at least as their bits do.
-            apart = np.bitwise_count(left ^ right).sum(1, dtype=np.int64)
-            use = pa.array(close(n, m, (n + m - apart) // 2), pa.bool_())
-            yield _shared.arrow_out(links, [batch.column(c).filter(use) for c in ("u", "v")])
-
-    return pairs.join(one, "u").join(two, "v").mapInArrow(run, "u long, v long")
+        for rows, bounds in groups(batches):
+            held, now, s = Shards(rows, bounds, radius), rows.column("now").to_numpy(), rows.column("s").to_numpy()
+            large = held.large()
+            asking = np.flatnonzero(~large)
+            members = np.flatnonzero(np.isin(held.shard, held.shard[asking]))
+            for a, b, apart in held.near(members, asking):
+                once = np.flatnonzero(large[b] | (b > a))
+                once = once[np.lexsort((b[once], apart[once], a[once]))]
+                a, b = a[once], b[once]
+                begin = np.flatnonzero(_starts(a))
+                rank = np.arange(len(a)) - np.repeat(begin, np.diff(np.append(begin, len(a))))
+                other = now[a] != now[b]
+                use, far = other & (rank >= first) & (rank < last), np.unique(a[other & (rank >= last)])
+                x, y = held.key[a[use]], held.key[b[use]]
+                if len(x) or len(far):
+                    yield _shared.arrow_out(schema, [np.concatenate(z) for z in ((np.zeros(len(x), np.int64), s[far]), (np.maximum(x, y), held.key[far]), (np.minimum(x, y), held.key[far]))])
+
+    return _by_shard(places, "component", "now").mapInArrow(run, "s long, u long, v long").distinct()
 
 
 def similar(pairs: DataFrame, texts: DataFrame, names: DataFrame, shingle: int) -> DataFrame:
-    """The pairs (u, v) whose sets are similar, written. texts: hash, text; names: key, n,
-    bits and the hash of one of its texts, keys distinct."""
-    pairs = _shared.written(possible(pairs, names), "possible")
+    """The pairs (u, v) whose sets are similar, written. pairs: written; texts: hash, text;
+    names: key and the hash of one of its texts, keys distinct."""
     ends = pairs.select(F.col("u").alias("key")).union(pairs.select(F.col("v").alias("key"))).distinct()
     schema = pa.schema([("key", pa.int64()), ("members", pa.binary())])
     links = pa.schema([("u", pa.int64()), ("v", pa.int64())])
@@ -321,7 +353,7 @@ def similar(pairs: DataFrame, texts: DataFrame, names: DataFrame, shingle: int)
             yield _shared.arrow_out(schema, [batch.column("key"), [x.tobytes() for x in _each(batch, shingle)]])
 
     # Written, so that their size is known before any text moves.
-    named = _shared.written(names.select("key", "hash").join(ends, "key", "left_semi"), "similar_names")
+    named = _shared.written(names.join(ends, "key", "left_semi"), "similar_names")
     small = _shared.bytes_written(named) <= BROADCAST_BYTES
     wanted = texts.join(F.broadcast(named) if small else named, "hash").select("key", "text").dropDuplicates(["key"])
     held = _shared.written(wanted.mapInArrow(members, "key long, members binary"), "similar_sets")
@@ -338,10 +370,15 @@ def similar(pairs: DataFrame, texts: DataFrame, names: DataFrame, shingle: int)
 
     found = _shared.written(pairs.join(one, "u").join(two, "v").mapInArrow(run, "u long, v long"), "links")
     _shared.discard(held)
-    _shared.discard(pairs)
     return found
 
 
+def _labelled(places: DataFrame, roots: DataFrame, name: str) -> DataFrame:
+    """places with the component of each key, where roots (u, v) names one, else the key."""
+    known = roots.select(F.col("u").alias("key"), F.col("v").alias("root"))
+    return places.join(known, "key", "left").withColumn(name, F.coalesce("root", "key")).drop("root")
+
+
 def classes(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
     """doc_id, hash (of the text) and root (the same for all of a group), for each row."""
     _shared.prepare(docs.sparkSession)
@@ -356,21 +393,27 @@ def classes(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -> Da
                 yield _shared.arrow_out(schema, [batch.column("doc_id"), batch.column("hash"), *zip(*found, strict=True)])
 
     sets = _shared.written(plain.mapInArrow(run, "doc_id long, hash long, key long, n int, fp long, bits binary, prefix array<long>"), "sets")
-    texts, names = plain.select("hash", "text"), sets.select("key", "n", "bits", "hash").dropDuplicates(["key"])
-    distinct = sets.select("key", "n", "fp", "prefix").dropDuplicates(["key"])
-    places = _shared.written(shared(distinct, radius), "places")
-    stars = _shared.written(met(places.withColumn("component", F.col("key")), stars=True, radius=radius), "stars")
-    links = similar(stars, texts, names, shingle)
+    texts, names = plain.select("hash", "text"), sets.select("key", "hash").dropDuplicates(["key"])
+    distinct, bits = sets.select("key", "n", "fp", "prefix").dropDuplicates(["key"]), sets.select("key", "bits").dropDuplicates(["key"])
+    places = _shared.written(shared(distinct, radius).join(bits, "key"), "places")
+    stars = _shared.written(starred(places, radius), "stars")
+    roots = now = components(similar(stars, texts, names, shingle))
     _shared.discard(stars)
-    roots = components(links).select(F.col("u").alias("key"), F.col("v").alias("root"))
-    told = places.join(roots, "key", "left").withColumn("component", F.coalesce("root", "key"))
-    pairs = _shared.written(met(told, stars=False, radius=radius), "pairs")
-    _shared.discard(places)
-    more = similar(pairs, texts, names, shingle)
+    first, last, left, pairs = 0, NEAREST, places, None
+    while True:
+        told = _labelled(_labelled(left, roots, "component"), now, "now")
+        before, pairs = pairs, _shared.written(nearest(told, first, last, radius), "pairs")
+        if before is not None:
+            _shared.discard(before)
+        now = components(now.union(similar(pairs.where("u != v").select("u", "v"), texts, names, shingle)))
+        farther = pairs.where("u = v").select("s").distinct()
+        if farther.isEmpty():
+            break
+        first, last, left = last, last * FARTHER, places.join(farther, "s", "left_semi")
     _shared.discard(pairs)
-    roots = components(links.union(more))
-    named = sets.select("doc_id", "hash", "key").join(roots.select(F.col("u").alias("key"), F.col("v").alias("root")), "key", "left")
-    return named.select("doc_id", "hash", F.coalesce("root", "key").alias("root"))
+    _shared.discard(places)
+    named = _labelled(sets.select("doc_id", "hash", "key"), now, "root_")
+    return named.select("doc_id", "hash", F.col("root_").alias("root"))
 
 
 def representatives(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:

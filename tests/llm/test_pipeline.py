@@ -147,3 +147,60 @@ def test_unlike_texts_that_share_shingles_go_no_further(spark):
         rows.append((k, len(values), jaccard.fingerprint(values), [int(x) for x in sorted({*jaccard.prefix(values, shared[:0]).view("int64").tolist(), *shared.view("int64").tolist()})]))
     found = jaccard.shared(spark.createDataFrame(rows, "key long, n int, fp long, prefix array<long>"), 12).collect()
     assert {r.key for r in found} == {0, 12} and len(found) > 20
+
+
+def near_copies(seed, n, edits, name="b"):
+    """Copies of one text with some words replaced, each by a word of its own."""
+    import random
+
+    rng, out = random.Random(seed), []
+    for k in range(n):
+        words = [f"{name}{i}" for i in range(150)]
+        for place in rng.sample(range(150), rng.choice(edits)):
+            words[place] = f"{name}{place}x{k}"
+        out.append(" ".join(words))
+    return out
+
+
+def rows_written(monkeypatch):
+    """The name and number of rows of each table that is written from now on."""
+    made, written = [], _shared.written
+
+    def told(df, name):
+        out = written(df, name)
+        made.append((name, out.count()))
+        return out
+
+    monkeypatch.setattr(_shared, "written", told)
+    return made
+
+
+def test_large_groups_of_near_copies_make_few_rows(spark, monkeypatch):
+    """Texts that are almost similar to all of a large group make no row for each pair."""
+    from burnish.llm import jaccard
+
+    made, n = rows_written(monkeypatch), 400
+    docs = spark.createDataFrame([*enumerate(near_copies(3, n, (2, 3, 4, 5)))], "doc_id long, text string")
+    jaccard.classes(docs).count()
+    assert max(rows for name, rows in made if name != "frequent") <= 6 * n
+
+
+def test_farther_pairs_come_in_later_rounds(spark, monkeypatch):
+    """However few pairs a round takes, the groups are those of all similar pairs."""
+    from burnish.llm import jaccard
+
+    texts = [t for k in range(2) for t in near_copies(k, 70, (1, 2, 3, 4), f"b{k}w")]
+    sets = [set(jaccard.shingles(t.encode()).tolist()) for t in texts]
+    root = list(range(len(texts)))
+    for a, one in enumerate(sets):
+        for b in range(a):
+            if 5 * len(one & sets[b]) >= 4 * len(one | sets[b]):
+                x, y = root[a], root[b]
+                root = [min(x, y) if r in (x, y) else r for r in root]
+    assert 2 < len(set(root)) < len(root) - 20
+    monkeypatch.setattr(jaccard, "NEAREST", 1)
+    monkeypatch.setattr(jaccard, "FARTHER", 4)
+    made = rows_written(monkeypatch)
+    docs = spark.createDataFrame([*enumerate(texts)], "doc_id long, text string")
+    assert sorted(r.doc_id for r in jaccard.representatives(docs).collect()) == sorted(set(root))
+    assert sum(name == "pairs" for name, _ in made) > 2
